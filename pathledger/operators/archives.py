@@ -42,4 +42,4 @@ def archive_totals(nested: DataFrame) -> DataFrame:
 def archive_file_members(files: DataFrame, members: DataFrame) -> DataFrame:
     """Members with the catalog row of their archive; one archive may hold most members."""
     archive = files.withColumnRenamed("path", "archive_path")
-    return lookup(members, archive, ["archive_path"], "internal_path")
+    return lookup(members, archive, ["archive_path"])

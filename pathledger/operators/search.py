@@ -19,19 +19,32 @@ _COMPARE = {
 }
 
 
+def _char_class(body):
+    """Regular expression of the inside of a glob's brackets; ranges that run backwards are empty."""
+    negate, items, at = body.startswith("!"), [], 0
+    body = body[1:] if negate else body
+    while at < len(body):
+        low = high = body[at]
+        if body[at + 1 : at + 2] == "-" and at + 2 < len(body):
+            high = body[at + 2]
+            at += 2
+        if low <= high:
+            items.append("-".join(re.sub(r"[\\\[\]&^-]", r"\\\g<0>", c) for c in (low, high)))
+        at += 1
+    if not items:
+        return "." if negate else "(?!)"
+    return f"[{'^' if negate else ''}{''.join(items)}]"
+
+
 def glob_regex(glob):
-    """Anchored regular expression of a glob with ``*``, ``?`` and ``[...]``."""
+    """Anchored regular expression of a glob with ``*``, ``?``, ``[...]`` and ``[!...]``."""
     out, at = ["(?s)^"], 0
     while at < len(glob):
         char = glob[at]
         # A bracket closes after at least one character, so "[]]" is a set of one.
-        skip = at + 2 + (glob[at + 1 : at + 2] in ("!", "^"))
-        close = glob.find("]", skip) if char == "[" else -1
+        close = glob.find("]", at + 2 + (glob[at + 1 : at + 2] == "!")) if char == "[" else -1
         if close > 0:
-            body = glob[at + 1 : close]
-            negate = body[0] in "!^"
-            inner = re.sub(r"([\\\[\]&^])", r"\\\1", body[1:] if negate else body)
-            out.append(f"[{'^' if negate else ''}{inner}]")
+            out.append(_char_class(glob[at + 1 : close]))
             at = close
         else:
             out.append({"*": ".*", "?": "."}.get(char) or re.escape(char))

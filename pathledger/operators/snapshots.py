@@ -43,15 +43,16 @@ def modified_files(prev: DataFrame, curr: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_diff(prev: DataFrame, curr: DataFrame) -> DataFrame:
+def snapshot_diff(prev: DataFrame, curr: DataFrame, hashes=True) -> DataFrame:
     """New, deleted and modified paths from one full outer join.
 
     ``size`` and ``content_hash`` come from the snapshot that has the path, the current one first.
+    Without ``hashes`` that column is NULL and the join carries no hash.
     """
-    columns = ["path", "size", "mtime", "content_hash"]
+    content_hash = F.col("content_hash") if hashes else F.lit(None).cast("string")
     # The marker tells a missing row from a row with NULL columns.
-    p = prev.select(*columns, F.lit(True).alias("there")).alias("p")
-    c = curr.select(*columns, F.lit(True).alias("there")).alias("c")
+    columns = ["path", "size", "mtime", content_hash.alias("content_hash"), F.lit(True).alias("there")]
+    p, c = prev.select(*columns).alias("p"), curr.select(*columns).alias("c")
     change = (
         F.when(F.col("p.there").isNull(), NEW)
         .when(F.col("c.there").isNull(), DELETED)
@@ -88,7 +89,7 @@ def _matched_new(diff: DataFrame, how) -> DataFrame:
         .groupBy("size", "name")
         .agg(F.min(F.struct("path", "content_hash")).alias("old"))
     )
-    return lookup(_of(diff, NEW), old, ["size", "name"], "path", how).select(
+    return lookup(_of(diff, NEW), old, ["size", "name"], how).select(
         F.col("old.path").alias("old_path"),
         F.col("path").alias("new_path"),
         "size",
@@ -116,9 +117,8 @@ def moves_from_diff(diff: DataFrame) -> DataFrame:
 
 def moves_name_size(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Moves between two snapshots by equal name and size, see ``moves_from_diff``."""
-    return moves_from_diff(materialise(snapshot_diff(prev, curr), "diff")).drop(
-        "old_hash", "new_hash"
-    )
+    diff = materialise(snapshot_diff(prev, curr, hashes=False), "diff")
+    return moves_from_diff(diff).drop("old_hash", "new_hash")
 
 
 def _confidence():
@@ -153,7 +153,8 @@ def changes_from_diff(diff: DataFrame, verify=False) -> DataFrame:
     if verify:
         confidence = _confidence()
         kept = kept & confidence.isNotNull()
-    arrived = _matched_new(diff, "left_outer").withColumn("kept", kept)
+    # Stored, since both the new rows and the old paths they took are read from it.
+    arrived = materialise(_matched_new(diff, "left_outer").withColumn("kept", kept), "arrived")
     appeared = arrived.select(
         F.col("new_path").alias("path"),
         F.when(F.col("kept"), MOVED).otherwise(NEW).alias("change_type"),
@@ -177,7 +178,8 @@ def changes_from_diff(diff: DataFrame, verify=False) -> DataFrame:
 
 def find_changes(prev: DataFrame, curr: DataFrame, verify=False) -> DataFrame:
     """The complete change set between two snapshots: new, deleted, modified and moved paths."""
-    return changes_from_diff(materialise(snapshot_diff(prev, curr), "diff"), verify)
+    diff = materialise(snapshot_diff(prev, curr, hashes=verify), "diff")
+    return changes_from_diff(diff, verify)
 
 
 def residual_new_deleted(prev: DataFrame, curr: DataFrame, verify=False) -> DataFrame:

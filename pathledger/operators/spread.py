@@ -5,70 +5,103 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pathledger.functions.paths import _col
 from pathledger.session import materialise
 
+# A key is hot when it holds this many rows and more than one in HOT_SHARE of all rows.
+# Fewer than HOT_SHARE keys can be hot, whatever the size of the data.
+HOT_ROWS = 200_000
+HOT_SHARE = 1_000
+
 
 def _shuffle_width(df):
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _salted(df, spread):
-    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_shuffle_width(df))))
+def _row_counts(df, keys, name):
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
 
+def hot_keys(df: DataFrame, keys, hot_rows=None) -> DataFrame:
+    """Keys too frequent for one task, fewer than ``HOT_SHARE``, from exact counts."""
+    counts = _row_counts(df, keys, "_rows")
+    total = counts.agg(F.sum("_rows")).scalar()
+    floor = HOT_ROWS if hot_rows is None else hot_rows
+    frequent = (F.col("_rows") >= floor) & (F.col("_rows") * HOT_SHARE > total)
+    return counts.filter(frequent).select(*keys)
 
-def lookup(left: DataFrame, right: DataFrame, keys, spread, how="inner") -> DataFrame:
+
+def lookup(left: DataFrame, right: DataFrame, keys, how="inner", hot_rows=None) -> DataFrame:
     """Join ``right``, which has one row per key, to ``left``, where a key may be hot.
 
-    Rows of ``left`` are spread over all shuffle partitions by a salt from the column ``spread``.
-    ``right`` is repeated only for the salts that its key really meets: the distinct (key, salt)
-    pairs of ``left`` combine before the shuffle and have at most one row per partition and key.
+    Rows of the hot keys stay where they are and meet a broadcast of their few right rows; all
+    other rows meet the right side in a shuffle, where no key is large. Both ways give all rows.
+    The keys must not be NULL in a left outer join.
     """
-    salted = _salted(left, spread)
-    met = salted.select(*keys, "_salt").distinct()
-    repeated = met.join(right, keys)
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    # Bounded by HOT_SHARE rows: the hot keys, and their rows of ``right``.
+    hot = F.broadcast(hot_keys(left, keys, hot_rows))
+    hot_right = F.broadcast(right.join(hot, keys, "left_semi"))
+    hot_rows = left.join(hot, keys, "left_semi").join(hot_right, keys, how)
+    other_rows = left.join(hot, keys, "left_anti").join(right, keys, how)
+    return other_rows.unionByName(hot_rows)
+
+
+def group_sizes(df: DataFrame, key, name, at_least=1, hot_rows=None) -> DataFrame:
+    """Every row of the keys with ``at_least`` rows, with the number of rows of its key."""
+    sizes = _row_counts(df, [key], name).filter(F.col(name) >= at_least)
+    return lookup(df, sizes, [key], hot_rows=hot_rows)
+
+
+def _sliced(df, group, order):
+    """``df`` cut into ranges of (group, order), sorted inside, with the number of the range.
+
+    The result is stored: all readers must see the same cut.
+    """
+    cut = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    place = F.monotonically_increasing_id().alias("_place")
+    return materialise(cut.select("*", F.spark_partition_id().alias("_slice"), place), "slices")
+
+
+def _starts(sums, group, names):
+    """What the slices before each slice of a group add up to."""
+    # A group has at most one row per slice here.
+    earlier = Window.partitionBy(*group or [F.lit(0)]).orderBy("_slice")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    return [
+        F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_start_{name}")
+        for name in names
+    ]
 
 
-def group_sizes(df: DataFrame, key, spread, name, at_least=1) -> DataFrame:
-    """Every row of the keys with ``at_least`` rows, with the number of rows of its key.
+def numbered(df: DataFrame, order, group=(), name="row_no") -> DataFrame:
+    """Rows numbered from 1 in ``order`` within ``group``, for groups of any size.
 
-    Rows are counted per key and salt first, and the totals return to those salts only, so that
-    no key is gathered in one task.
+    A range shuffle cuts and sorts the rows, and a row's place in its slice is stored with it.
+    Its number is that place, counted from the first row of the group in the slice, after the
+    rows of the group in earlier slices. ``order`` must be unique within a group.
     """
-    salted = _salted(df, spread)
-    counts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_rows"))
-    totals = counts.groupBy(key).agg(F.sum("_rows").alias(name)).filter(F.col(name) >= at_least)
-    repeated = counts.drop("_rows").join(totals, key)
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    group = list(group)
+    sliced = _sliced(df, group, list(order))
+    sums = sliced.groupBy(*group, "_slice").agg(
+        F.count(F.lit(1)).alias("_sum_rows"), F.min("_place").alias("_first")
+    )
+    starts = sums.select(*group, "_slice", "_first", *_starts(sums, group, ["rows"]))
+    number = F.col("_start_rows") + F.col("_place") - F.col("_first") + 1
+    joined = sliced.join(starts, [*group, "_slice"])
+    return joined.select(*df.columns, number.alias(name))
 
 
 def running_totals(df: DataFrame, order, totals, group=()) -> DataFrame:
     """Running sums over ``order`` within ``group``, for groups of any size.
 
-    A range shuffle cuts the ordered rows into slices, and a slice adds up only its own rows.
-    Each slice then starts from the sum of the slices before it in its group. The slices are
-    stored before use, since both steps must see the same cut.
-
-    ``order`` must be unique within a group. ``totals`` maps a new column to the number summed.
+    Each slice of a range shuffle adds up its own rows and starts from the sum of the earlier
+    slices of its group. ``order`` must be unique within a group. ``totals`` maps a new column to
+    the number summed.
     """
     group, order = list(group), list(order)
-    sliced = df.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id())
-    sliced = materialise(sliced, "slices")
-
+    sliced = _sliced(df, group, order)
     sums = sliced.groupBy(*group, "_slice").agg(
         *[F.sum(_col(value)).alias(f"_sum_{name}") for name, value in totals.items()]
     )
-    # At most one row per slice in a group.
-    earlier = Window.partitionBy(*group or [F.lit(0)]).orderBy("_slice")
-    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *group,
-        "_slice",
-        *[
-            F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_start_{name}")
-            for name in totals
-        ],
-    )
-
-    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
+    starts = sums.select(*group, "_slice", *_starts(sums, group, totals))
+    inside = Window.partitionBy(*group, "_slice").orderBy("_place")
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
     for name, value in totals.items():
         sliced = sliced.withColumn(f"_here_{name}", F.sum(_col(value)).over(inside))
@@ -79,11 +112,6 @@ def running_totals(df: DataFrame, order, totals, group=()) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, order, group=(), name="row_no") -> DataFrame:
-    """Rows numbered from 1 in ``order`` within ``group``."""
-    return running_totals(df, order, {name: F.lit(1)}, group)
-
-
 def first_rows(df: DataFrame, n, order, group=()) -> DataFrame:
     """The first ``n`` rows per group, thinned in rounds.
 

@@ -78,12 +78,12 @@ def duplicate_files(files: DataFrame) -> DataFrame:
     Rows, not lists: a content that fills a third of the catalog fits no single cell.
     """
     hashed = files.filter(F.col("content_hash").isNotNull()).select("content_hash", "path")
-    return group_sizes(hashed, "content_hash", "path", "copies", at_least=2)
+    return group_sizes(hashed, "content_hash", "copies", at_least=2)
 
 
 def paths_by_size(files: DataFrame) -> DataFrame:
     """Every path under its size, with the number of files of that size."""
-    return group_sizes(files.select("size", "path"), "size", "path", "files_of_size")
+    return group_sizes(files.select("size", "path"), "size", "files_of_size")
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

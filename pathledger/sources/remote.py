@@ -1,16 +1,53 @@
 """Opening single files from inside a task, on any file system Arrow knows."""
 
-from urllib.parse import unquote, urlsplit
+import io
+import re
 
 from pyarrow import fs
 
 
+class _Handle(io.RawIOBase):
+    """An Arrow file that answers a wrong seek with OSError, as Python's own files do."""
+
+    def __init__(self, source):
+        self._source = source
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+    def tell(self):
+        return self._source.tell()
+
+    def seek(self, offset, whence=io.SEEK_SET):
+        start = {io.SEEK_SET: 0, io.SEEK_CUR: self.tell(), io.SEEK_END: self._source.size()}[whence]
+        if start + offset < 0:
+            raise OSError("seek before the start of the file")
+        return self._source.seek(start + offset)
+
+    def readinto(self, buffer):
+        data = self._source.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def close(self):
+        self._source.close()
+        super().close()
+
+
 def open_for_reading(path):
-    """A seekable handle on a local path or a ``scheme://`` / ``file:`` address."""
-    scheme = urlsplit(path).scheme
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_file(unquote(urlsplit(path).path))
-    if len(scheme) > 1:
-        system, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-        return system.open_input_file(inner)
-    return fs.LocalFileSystem().open_input_file(path)
+    """A seekable binary handle on a plain path or a ``scheme:`` address as Spark shows it.
+
+    Addresses are taken as they are, without percent decoding.
+    """
+    address = re.fullmatch(r"(?s)(\w[\w+.-]+)://([^/]*)/?(.*)", path)
+    if path.startswith("file:"):
+        return open(re.sub(r"^file:(//)?", "", path), "rb")
+    if not address:
+        return open(path, "rb")
+    scheme, host, rest = address.groups()
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    system, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return io.BufferedReader(_Handle(system.open_input_file(f"{root.rstrip('/')}/{rest}")))

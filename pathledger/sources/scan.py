@@ -19,8 +19,8 @@ _BATCH = 10_000
 def scan_files(spark: SparkSession, *roots, glob=None) -> DataFrame:
     """Path, size and modification time below the roots, on any file system Spark reads.
 
-    Only metadata is read. Spark's own listing leaves out names that start with ``.`` or ``_``
-    and keeps the list on the driver; ``walk_files`` does neither.
+    Only metadata is read. Spark's own listing leaves out empty files and names that start with
+    ``.`` or ``_``, follows links, and keeps the list on the driver; ``walk_files`` does not.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:

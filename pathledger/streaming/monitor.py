@@ -140,7 +140,7 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
         # The first listing is only the baseline.
         _write_base(curr, root, batch_id)
     else:
-        diff = materialise(snapshot_diff(prev, curr), "diff")
+        diff = materialise(snapshot_diff(prev, curr, hashes=verify), "diff")
         _write(changes_from_diff(diff, verify), root, "changes", batch_id)
         found = spark.read.parquet(f"{root}/changes/{_BATCH}={batch_id}")
         moves = found.filter(F.col("change_type") == MOVED)
