@@ -73,11 +73,17 @@ def snapshot_diff(prev: DataFrame, curr: DataFrame, hashes=True) -> DataFrame:
     )
 
 
+def stored_diff(prev: DataFrame, curr: DataFrame, hashes=True):
+    """The rows of ``snapshot_diff`` as a stored table, and their number from its footers."""
+    diff = materialise(snapshot_diff(prev, curr, hashes), "diff")
+    return diff, diff.count()
+
+
 def _of(diff, change_type):
     return diff.filter(F.col("change_type") == change_type)
 
 
-def _matched_new(diff: DataFrame, how) -> DataFrame:
+def _matched_new(diff: DataFrame, how, rows) -> DataFrame:
     """New rows with the smallest deleted path of equal name and size, and both hashes.
 
     The deleted side shrinks to one row per name and size before the join, so no pairs within a
@@ -89,7 +95,8 @@ def _matched_new(diff: DataFrame, how) -> DataFrame:
         .groupBy("size", "name")
         .agg(F.min(F.struct("path", "content_hash")).alias("old"))
     )
-    return lookup(_of(diff, NEW), old, ["size", "name"], how).select(
+    matched = lookup(_of(diff, NEW), old, ["size", "name"], how, left_rows=rows)
+    return matched.select(
         F.col("old.path").alias("old_path"),
         F.col("path").alias("new_path"),
         "size",
@@ -98,13 +105,13 @@ def _matched_new(diff: DataFrame, how) -> DataFrame:
     )
 
 
-def moves_from_diff(diff: DataFrame) -> DataFrame:
+def moves_from_diff(diff: DataFrame, rows=None) -> DataFrame:
     """Moves among the rows of a ``snapshot_diff``, by equal name and size.
 
     A new path gets at most one old path, the smallest; one old path may serve several new paths.
-    Empty files match as well.
+    Empty files match as well. ``rows`` is the number of rows of ``diff``, if known.
     """
-    return _matched_new(diff, "inner").select(
+    return _matched_new(diff, "inner", rows).select(
         "old_path",
         "new_path",
         "size",
@@ -117,8 +124,8 @@ def moves_from_diff(diff: DataFrame) -> DataFrame:
 
 def moves_name_size(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Moves between two snapshots by equal name and size, see ``moves_from_diff``."""
-    diff = materialise(snapshot_diff(prev, curr, hashes=False), "diff")
-    return moves_from_diff(diff).drop("old_hash", "new_hash")
+    diff, rows = stored_diff(prev, curr, hashes=False)
+    return moves_from_diff(diff, rows).drop("old_hash", "new_hash")
 
 
 def _confidence():
@@ -139,14 +146,15 @@ def verified(moves: DataFrame) -> DataFrame:
 
 def moves_verified(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Moves between two snapshots that their content hashes do not contradict."""
-    return verified(moves_from_diff(materialise(snapshot_diff(prev, curr), "diff")))
+    return verified(moves_from_diff(*stored_diff(prev, curr)))
 
 
-def changes_from_diff(diff: DataFrame, verify=False) -> DataFrame:
+def changes_from_diff(diff: DataFrame, rows=None, verify=False) -> DataFrame:
     """(path, change_type, old_path, confidence) with moves taken out of new and deleted.
 
-    ``diff`` is read several times, so it should be a stored table. With ``verify``, pairs with
-    different hashes count as one new and one deleted file instead of a move.
+    ``diff`` is read several times, so it should be a stored table; ``rows`` is the number of its
+    rows, if known. With ``verify``, pairs with different hashes count as one new and one deleted
+    file instead of a move.
     """
     kept = F.col("old_path").isNotNull()
     confidence = F.lit(NAME_SIZE_CONFIDENCE)
@@ -154,7 +162,9 @@ def changes_from_diff(diff: DataFrame, verify=False) -> DataFrame:
         confidence = _confidence()
         kept = kept & confidence.isNotNull()
     # Stored, since both the new rows and the old paths they took are read from it.
-    arrived = materialise(_matched_new(diff, "left_outer").withColumn("kept", kept), "arrived")
+    arrived = materialise(
+        _matched_new(diff, "left_outer", rows).withColumn("kept", kept), "arrived"
+    )
     appeared = arrived.select(
         F.col("new_path").alias("path"),
         F.when(F.col("kept"), MOVED).otherwise(NEW).alias("change_type"),
@@ -178,8 +188,7 @@ def changes_from_diff(diff: DataFrame, verify=False) -> DataFrame:
 
 def find_changes(prev: DataFrame, curr: DataFrame, verify=False) -> DataFrame:
     """The complete change set between two snapshots: new, deleted, modified and moved paths."""
-    diff = materialise(snapshot_diff(prev, curr, hashes=verify), "diff")
-    return changes_from_diff(diff, verify)
+    return changes_from_diff(*stored_diff(prev, curr, hashes=verify), verify)
 
 
 def residual_new_deleted(prev: DataFrame, curr: DataFrame, verify=False) -> DataFrame:

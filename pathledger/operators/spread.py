@@ -5,10 +5,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pathledger.functions.paths import _col
 from pathledger.session import materialise
 
-# A key is hot when it holds this many rows and more than one in HOT_SHARE of all rows.
-# Fewer than HOT_SHARE keys can be hot, whatever the size of the data.
+# The most frequent keys with this many rows count as hot, at most HOT_KEYS of them. Any other
+# key holds fewer rows than this, or less than one in HOT_KEYS of all rows.
 HOT_ROWS = 200_000
-HOT_SHARE = 1_000
+HOT_KEYS = 1_000
 
 
 def _shuffle_width(df):
@@ -20,22 +20,26 @@ def _row_counts(df, keys, name):
 
 
 def hot_keys(df: DataFrame, keys, hot_rows=None) -> DataFrame:
-    """Keys too frequent for one task, fewer than ``HOT_SHARE``, from exact counts."""
-    counts = _row_counts(df, keys, "_rows")
-    total = counts.agg(F.sum("_rows")).scalar()
+    """Keys too frequent for one task, at most ``HOT_KEYS``, from exact counts."""
     floor = HOT_ROWS if hot_rows is None else hot_rows
-    frequent = (F.col("_rows") >= floor) & (F.col("_rows") * HOT_SHARE > total)
-    return counts.filter(frequent).select(*keys)
+    # NULL keys join nothing. Leaving them out also makes this the shuffle that the join repeats.
+    for key in keys:
+        df = df.filter(F.col(key).isNotNull())
+    frequent = _row_counts(df, keys, "_rows").filter(F.col("_rows") >= floor)
+    return frequent.orderBy(F.desc("_rows"), *keys).limit(HOT_KEYS).select(*keys)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys, how="inner", hot_rows=None) -> DataFrame:
+def lookup(left, right, keys, how="inner", hot_rows=None, left_rows=None) -> DataFrame:
     """Join ``right``, which has one row per key, to ``left``, where a key may be hot.
 
     Rows of the hot keys stay where they are and meet a broadcast of their few right rows; all
     other rows meet the right side in a shuffle, where no key is large. Both ways give all rows.
-    The keys must not be NULL in a left outer join.
+    The keys must not be NULL in a left outer join. ``left_rows``, an upper bound of the rows of
+    ``left`` if the caller knows one, saves the search for hot keys when it is small.
     """
-    # Bounded by HOT_SHARE rows: the hot keys, and their rows of ``right``.
+    if left_rows is not None and left_rows < (HOT_ROWS if hot_rows is None else hot_rows):
+        return left.join(right, keys, how)
+    # At most HOT_KEYS rows each: the hot keys, and their rows of ``right``.
     hot = F.broadcast(hot_keys(left, keys, hot_rows))
     hot_right = F.broadcast(right.join(hot, keys, "left_semi"))
     hot_rows = left.join(hot, keys, "left_semi").join(hot_right, keys, how)

@@ -97,9 +97,7 @@ def read_listing_csv(spark, sf_dir):
 
 def _written_checkpoint(spark, sf_dir):
     location = fresh_folder(spark, "checkpoint-text")
-    checkpoints.write_checkpoint_text(
-        fx.scan_results(fx.table(spark, sf_dir, "events")), location, rows=1000
-    )
+    checkpoints.write_checkpoint_text(fx.scan_results(fx.table(spark, sf_dir, "events")), location)
     return location
 
 
@@ -217,7 +215,7 @@ def _packed(doc_id, text):
             for member, content in (("a/", b""), (name, data), ("b.md", b"tail")):
                 archive.writestr(zipfile.ZipInfo(member, stamp.timetuple()[:6]), content)
     else:
-        with tarfile.open(fileobj=out, mode="w:gz") as archive:
+        with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as archive:
             folder = tarfile.TarInfo("a")
             folder.type = tarfile.DIRTYPE
             archive.addfile(folder)

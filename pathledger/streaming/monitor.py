@@ -14,7 +14,7 @@ A batch that is repeated after a failure reads only what earlier batches wrote a
 own folders.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pathledger.operators.snapshots import (
     DELETED,
@@ -22,39 +22,52 @@ from pathledger.operators.snapshots import (
     MOVED,
     NEW,
     changes_from_diff,
-    snapshot_diff,
+    stored_diff,
 )
 from pathledger.schema import SNAPSHOT_MANIFEST
-from pathledger.session import materialise
 from pathledger.sources.catalog import write_catalog
 
 _UPSERT, _DELETE = "upsert", "delete"
 _BATCH = "batch_id"
 
+# Tables of fixed columns; a delta has those of the listings.
+_SCHEMAS = {
+    "polls": "snapshot_id long, new long, modified long, deleted long, moved long, completed long",
+    "bases": "kind string",
+    "changes": "path string, change_type string, old_path string, confidence double",
+    "move_history": "old_path string, new_path string, confidence double, detected_at timestamp",
+}
+
+
+def _one_row(spark, schema, values):
+    """A DataFrame of one row, planned without Python data."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.range(1, numPartitions=1).select(
+        *[F.lit(value).cast(f.dataType).alias(f.name) for f, value in zip(fields, values)]
+    )
+
 
 def publish_snapshot(files: DataFrame, snapshot_id, location, manifests):
     """Store a complete listing and announce it with one manifest line."""
     files.write.mode("overwrite").option("compression", "zstd").parquet(location)
-    line = files.sparkSession.createDataFrame([(snapshot_id, location)], SNAPSHOT_MANIFEST)
-    line.coalesce(1).write.mode("append").json(manifests)
-
-
-def _stored(spark, location):
-    """A table of the monitor, or None before its first write."""
-    try:
-        table = spark.read.option("mergeSchema", True).parquet(location)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+    line = _one_row(files.sparkSession, SNAPSHOT_MANIFEST, [snapshot_id, location])
+    line.write.mode("append").json(manifests)
+
+
+def _stored(spark, root, kind):
+    """A table of the monitor, with the batch that wrote each row."""
+    reader = spark.read
+    if kind in _SCHEMAS:
+        reader = reader.schema(f"{_SCHEMAS[kind]}, {_BATCH} long")
+    else:
+        reader = reader.option("mergeSchema", True)
+    table = reader.parquet(f"{root}/{kind}")
     return table.withColumn(_BATCH, F.col(_BATCH).cast("bigint"))
 
 
 def _latest(spark, root, kind, before=None):
     """Largest batch id of a small table that has one row per batch; None without one."""
-    table = _stored(spark, f"{root}/{kind}")
-    if table is None:
-        return None
+    table = _stored(spark, root, kind)
     if before is not None:
         table = table.filter(F.col(_BATCH) < before)
     return table.agg(F.max(_BATCH)).first()[0]
@@ -62,17 +75,17 @@ def _latest(spark, root, kind, before=None):
 
 def polls(spark: SparkSession, root) -> DataFrame:
     """One row per completed poll, with the number of polls completed by then."""
-    return _stored(spark, f"{root}/polls")
+    return _stored(spark, root, "polls")
 
 
 def changes(spark: SparkSession, root) -> DataFrame:
     """All changes found so far, by poll."""
-    return _stored(spark, f"{root}/changes")
+    return _stored(spark, root, "changes")
 
 
 def move_history(spark: SparkSession, root) -> DataFrame:
     """All moves found so far, by poll."""
-    return _stored(spark, f"{root}/move_history")
+    return _stored(spark, root, "move_history")
 
 
 def current_catalog(spark: SparkSession, root, before=None) -> DataFrame:
@@ -85,10 +98,7 @@ def current_catalog(spark: SparkSession, root, before=None) -> DataFrame:
         return None
     start = _latest(spark, root, "bases", last + 1)
     base = spark.read.parquet(f"{root}/base/{_BATCH}={start}")
-    deltas = _stored(spark, f"{root}/delta")
-    if deltas is None:
-        return base
-    later = deltas.filter((F.col(_BATCH) > start) & (F.col(_BATCH) <= last))
+    later = _stored(spark, root, "delta").filter((F.col(_BATCH) > start) & (F.col(_BATCH) <= last))
     row = F.max_by(F.struct(*[c for c in later.columns if c != _BATCH]), _BATCH).alias("row")
     latest = later.groupBy("path").agg(row).select("row.*")
     kept = base.join(latest.select("path"), "path", "left_anti")
@@ -109,10 +119,18 @@ def _write(df, root, kind, batch_id):
     )
 
 
+def _write_empty(curr, root):
+    """Tables without rows, so that all readers find them from the first poll on."""
+    for kind, schema in _SCHEMAS.items():
+        nothing = [None] * len(T.StructType.fromDDL(schema))
+        _write(_one_row(curr.sparkSession, schema, nothing).limit(0), root, kind, -1)
+    _write(curr.limit(0).withColumn("op", F.lit(_UPSERT)), root, "delta", -1)
+
+
 def _write_base(catalog, root, batch_id):
     write_catalog(catalog, f"{root}/base/{_BATCH}={batch_id}", mode="overwrite")
     # The marker comes last: a base that was not finished is never read.
-    marker = catalog.sparkSession.createDataFrame([("base",)], "kind string").coalesce(1)
+    marker = _one_row(catalog.sparkSession, _SCHEMAS["bases"], ["base"])
     _write(marker, root, "bases", batch_id)
 
 
@@ -133,16 +151,18 @@ def _delta(curr, found):
 
 def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFrame, verify=False):
     """Compare one listing with the stored catalog and store what changed."""
-    prev = current_catalog(spark, root, before=batch_id)
     curr = curr.filter("drive <> ''")
+    if batch_id == 0:
+        _write_empty(curr, root)
+    prev = current_catalog(spark, root, before=batch_id)
     counts = {}
     if prev is None:
         # The first listing is only the baseline.
         _write_base(curr, root, batch_id)
     else:
-        diff = materialise(snapshot_diff(prev, curr, hashes=verify), "diff")
-        _write(changes_from_diff(diff, verify), root, "changes", batch_id)
-        found = spark.read.parquet(f"{root}/changes/{_BATCH}={batch_id}")
+        diff, rows = stored_diff(prev, curr, hashes=verify)
+        _write(changes_from_diff(diff, rows, verify), root, "changes", batch_id)
+        found = changes(spark, root).filter(F.col(_BATCH) == batch_id).drop(_BATCH)
         moves = found.filter(F.col("change_type") == MOVED)
         _write(
             moves.select(
@@ -159,16 +179,11 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
         # At most four rows.
         rows = found.groupBy("change_type").agg(F.count(F.lit(1)).alias("n")).collect()
         counts = {row["change_type"]: row["n"] for row in rows}
-    earlier = _stored(spark, f"{root}/polls")
-    completed = 1
-    if earlier is not None:
-        earlier = earlier.filter(F.col(_BATCH) < batch_id)
-        completed += earlier.agg(F.coalesce(F.max("completed"), F.lit(0))).first()[0]
-    summary = [
-        (snapshot_id, *(counts.get(kind, 0) for kind in (NEW, MODIFIED, DELETED, MOVED)), completed)
-    ]
-    names = "snapshot_id long, new long, modified long, deleted long, moved long, completed long"
-    _write(spark.createDataFrame(summary, names).coalesce(1), root, "polls", batch_id)
+    earlier = polls(spark, root).filter(F.col(_BATCH) < batch_id)
+    completed = earlier.agg(F.coalesce(F.max("completed"), F.lit(0))).first()[0] + 1
+    found = [counts.get(kind, 0) for kind in (NEW, MODIFIED, DELETED, MOVED)]
+    summary = _one_row(spark, _SCHEMAS["polls"], [snapshot_id, *found, completed])
+    _write(summary, root, "polls", batch_id)
 
 
 def monitor(spark: SparkSession, manifests, root, read_snapshot=None, verify=False, trigger=None):
