@@ -31,7 +31,7 @@ def smart_hash(content, size):
 
 def _hash_at(path, size):
     """The same fingerprint read from a file, at most 2 MiB of it when it is large."""
-    if size > HASH_LIMIT:
+    if not 0 <= size <= HASH_LIMIT:
         return None
     try:
         with open_for_reading(path) as handle:
@@ -49,5 +49,8 @@ def _hash_at(path, size):
 
 @F.pandas_udf(StringType())
 def smart_hash_at(path: pd.Series, size: pd.Series) -> pd.Series:
-    """``smart_hash`` of the file at ``path``; reads only the bytes that count, never whole files."""
+    """``smart_hash`` of the file at ``path``; of a file over 2 MiB only head and tail are read.
+
+    NULL for an unreadable file and for a negative size.
+    """
     return pd.Series([_hash_at(p, int(s)) for p, s in zip(path, size)], dtype=object)

@@ -37,13 +37,13 @@ def drive_key(drive):
 
 
 def base_name(path):
-    """Last component of a backslash path."""
-    return F.substring_index(_col(path), SEPARATOR, -1)
+    """Last component of a path with separators of either kind."""
+    return F.substring_index(F.translate(_col(path), "/", SEPARATOR), SEPARATOR, -1)
 
 
 def directory_of(path):
-    """Everything before the last backslash; empty if there is none."""
-    return F.regexp_extract(_col(path), r"(?s)^(.*)\\[^\\]*$", 1)
+    """Everything before the last separator; empty if there is none."""
+    return F.regexp_extract(_col(path), r"(?s)^(.*)[\\/][^\\/]*$", 1)
 
 
 def ext_suffix(name):

@@ -3,7 +3,7 @@
 import datetime
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathledger.functions.paths import base_name
 
@@ -96,8 +96,11 @@ def search(df: DataFrame, name=None, modified=None, size=None, as_of=None, ignor
     return df.orderBy("path")
 
 
-def search_files(name=None, modified=None, size=None, *, spark, catalog, **options) -> DataFrame:
-    """``search`` over the catalog stored at ``catalog``."""
-    from pathledger.sources.catalog import read_catalog
+def search_files(name=None, modified=None, size=None, *, catalog=None, spark=None, **options):
+    """``search`` over a stored catalog: ``search_files("*.py")``, ``search_files(size=">100MB")``.
 
-    return search(read_catalog(spark, catalog), name, modified, size, **options)
+    ``catalog`` is its location, by default the session setting ``spark.pathledger.catalog``.
+    """
+    spark = spark or SparkSession.active()
+    catalog = catalog or spark.conf.get("spark.pathledger.catalog")
+    return search(spark.read.parquet(catalog), name, modified, size, **options)

@@ -16,6 +16,9 @@ NEW, DELETED, MODIFIED, MOVED = "new", "deleted", "modified", "moved"
 NAME_SIZE_CONFIDENCE, VERIFIED_CONFIDENCE = 0.9, 1.0
 NAME_SIZE_REASON = "same_name_and_size"
 
+# What a comparison looks at.
+_COMPARED = ["path", "size", "mtime"]
+
 
 def new_files(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Rows of the current snapshot whose path the previous one lacks."""
@@ -43,16 +46,18 @@ def modified_files(prev: DataFrame, curr: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_diff(prev: DataFrame, curr: DataFrame, hashes=True) -> DataFrame:
+def snapshot_diff(prev: DataFrame, curr: DataFrame, hashes=True, rows=False) -> DataFrame:
     """New, deleted and modified paths from one full outer join.
 
-    ``size`` and ``content_hash`` come from the snapshot that has the path, the current one first.
-    Without ``hashes`` that column is NULL and the join carries no hash.
+    ``size``, ``mtime`` and ``content_hash`` come from the snapshot that has the path, the current
+    one first. Without ``hashes`` the last is NULL and the join carries no hash. With ``rows``, a
+    struct ``rest`` holds the other columns of new and modified rows.
     """
     content_hash = F.col("content_hash") if hashes else F.lit(None).cast("string")
     # The marker tells a missing row from a row with NULL columns.
-    columns = ["path", "size", "mtime", content_hash.alias("content_hash"), F.lit(True).alias("there")]
-    p, c = prev.select(*columns).alias("p"), curr.select(*columns).alias("c")
+    columns = [*_COMPARED, content_hash.alias("content_hash"), F.lit(True).alias("there")]
+    rest = [F.struct(*_rest(curr)).alias("rest")] if rows else []
+    p, c = prev.select(*columns).alias("p"), curr.select(*columns, *rest).alias("c")
     change = (
         F.when(F.col("p.there").isNull(), NEW)
         .when(F.col("c.there").isNull(), DELETED)
@@ -65,17 +70,29 @@ def snapshot_diff(prev: DataFrame, curr: DataFrame, hashes=True) -> DataFrame:
             "path",
             change.alias("change_type"),
             F.coalesce("c.size", "p.size").alias("size"),
+            F.coalesce("c.mtime", "p.mtime").alias("mtime"),
             F.when(present, F.col("c.content_hash"))
             .otherwise(F.col("p.content_hash"))
             .alias("content_hash"),
+            *(["rest"] if rows else []),
         )
         .filter(F.col("change_type").isNotNull())
     )
 
 
-def stored_diff(prev: DataFrame, curr: DataFrame, hashes=True):
+def _rest(snapshot):
+    return [name for name in snapshot.columns if name not in _COMPARED]
+
+
+def rows_of_diff(diff: DataFrame, curr: DataFrame) -> DataFrame:
+    """Complete current rows of the new and modified paths of a ``snapshot_diff`` with ``rows``."""
+    entering = diff.filter(F.col("change_type").isin(NEW, MODIFIED))
+    return entering.select(*_COMPARED, "rest.*").select(*curr.columns)
+
+
+def stored_diff(prev: DataFrame, curr: DataFrame, hashes=True, rows=False, folder=None):
     """The rows of ``snapshot_diff`` as a stored table, and their number from its footers."""
-    diff = materialise(snapshot_diff(prev, curr, hashes), "diff")
+    diff = materialise(snapshot_diff(prev, curr, hashes, rows), "diff", folder)
     return diff, diff.count()
 
 
@@ -149,7 +166,7 @@ def moves_verified(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return verified(moves_from_diff(*stored_diff(prev, curr)))
 
 
-def changes_from_diff(diff: DataFrame, rows=None, verify=False) -> DataFrame:
+def changes_from_diff(diff: DataFrame, rows=None, verify=False, folder=None) -> DataFrame:
     """(path, change_type, old_path, confidence) with moves taken out of new and deleted.
 
     ``diff`` is read several times, so it should be a stored table; ``rows`` is the number of its
@@ -163,7 +180,7 @@ def changes_from_diff(diff: DataFrame, rows=None, verify=False) -> DataFrame:
         kept = kept & confidence.isNotNull()
     # Stored, since both the new rows and the old paths they took are read from it.
     arrived = materialise(
-        _matched_new(diff, "left_outer", rows).withColumn("kept", kept), "arrived"
+        _matched_new(diff, "left_outer", rows).withColumn("kept", kept), "arrived", folder
     )
     appeared = arrived.select(
         F.col("new_path").alias("path"),
@@ -218,7 +235,7 @@ def moves_same_size(prev: DataFrame, curr: DataFrame) -> DataFrame:
 
 def changed_rows(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Complete current rows of new and modified paths, from one join."""
-    there = prev.select("path", "size", "mtime", F.lit(True).alias("there")).alias("p")
+    there = prev.select(*_COMPARED, F.lit(True).alias("there")).alias("p")
     joined = curr.alias("c").join(there, "path", "left_outer")
     changed = joined.filter(F.col("p.there").isNull() | _differs())
     return changed.select("path", *[F.col(f"c.{name}") for name in curr.columns if name != "path"])

@@ -43,12 +43,13 @@ def fresh_folder(spark, label):
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label="table") -> DataFrame:
+def materialise(df: DataFrame, label="table", folder=None) -> DataFrame:
     """Write ``df`` once and return the stored table.
 
     Used where several later steps need the same rows: they read a columnar table instead of
-    repeating the joins, and a lost executor costs a re-read, not a recomputation.
+    repeating the joins, and a lost executor costs a re-read, not a recomputation. The table gets
+    a new place in the shared folder, or replaces the one of the same label in ``folder``.
     """
-    location = fresh_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(location)
+    location = f"{folder}/{label}" if folder else fresh_folder(df.sparkSession, label)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(location)
     return df.sparkSession.read.schema(df.schema).parquet(location)

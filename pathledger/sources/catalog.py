@@ -23,13 +23,10 @@ def write_catalog(files: DataFrame, location, mode="append", rows=SHARD_ROWS):
 
 def read_catalog(spark: SparkSession, *locations) -> DataFrame:
     """Rows of one or more catalogs; columns that one lacks are NULL."""
-    # Without type inference a drive stays text, whatever its name.
-    merged = None
-    for location in locations:
-        table = spark.read.option("mergeSchema", True).parquet(location)
-        table = table.withColumn("drive", table["drive"].cast("string"))
-        merged = table if merged is None else merged.unionByName(table, allowMissingColumns=True)
-    return merged
+    first, *rest = [spark.read.parquet(location) for location in locations]
+    for table in rest:
+        first = first.unionByName(table, allowMissingColumns=True)
+    return first
 
 
 def append_moves(moves: DataFrame, location):

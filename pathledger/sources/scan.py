@@ -6,7 +6,10 @@ import stat
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathledger.functions.paths import ext_splitext
+from pathledger.functions.content import smart_hash_at
+from pathledger.functions.paths import drive_of, ext_splitext, is_archive_scan
+from pathledger.operators.filters import only_success, skip_dirs_substring, skip_extensions
+from pathledger.schema import HASH_LIMIT
 from pathledger.session import fresh_folder
 
 _LISTED = (
@@ -85,10 +88,11 @@ def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidd
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = 0
     frontier = spark.createDataFrame([(root,) for root in roots], "path string")
-    while True:
+    waiting = len(roots)
+    while waiting:
         target = f"{store}/level={level}"
         # Directories are few bytes but much work each: spread them by count.
-        spread = frontier.repartition(width, "path") if level else frontier
+        spread = frontier.repartition(min(width, waiting), "path")
         spread.mapInPandas(_list_directories, _LISTED).write.parquet(target)
         if depth and level >= depth:
             break
@@ -99,8 +103,7 @@ def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidd
         if skip_hidden:
             frontier = frontier.filter(~F.col("name").rlike("^[$.]"))
         frontier = frontier.select("path")
-        if frontier.isEmpty():
-            break
+        waiting = frontier.count()
         level += 1
     found = spark.read.schema(_LISTED).option("recursiveFileLookup", True).parquet(store)
     return found.filter("NOT is_dir OR error IS NOT NULL").select(
@@ -112,3 +115,29 @@ def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidd
         ext_splitext("name").alias("ext"),
         "error",
     )
+
+
+def files_from_scan(results: DataFrame, drive=None) -> DataFrame:
+    """Catalog rows of the files that a ``walk_files`` found, skip lists applied.
+
+    Files below 100 MiB get a fingerprint of their content, read inside the tasks. ``drive`` is
+    the name of the scanned root; by default the start of each path.
+    """
+    kept = skip_extensions(skip_dirs_substring(only_success(results)))
+    # Reading is work per file: spread the files by count.
+    width = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = kept.repartition(width, "path")
+    small = F.col("size") < HASH_LIMIT
+    return kept.select(
+        "path",
+        "size",
+        "mtime",
+        "ctime",
+        F.when(small, smart_hash_at("path", F.when(small, F.col("size")).otherwise(-1))).alias(
+            "content_hash"
+        ),
+        is_archive_scan("path").alias("is_archive"),
+        (drive_of("path") if drive is None else F.lit(drive)).alias("drive"),
+        "ext",
+        F.lit(0).cast("bigint").alias("attributes"),
+    )

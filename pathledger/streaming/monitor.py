@@ -22,6 +22,7 @@ from pathledger.operators.snapshots import (
     MOVED,
     NEW,
     changes_from_diff,
+    rows_of_diff,
     stored_diff,
 )
 from pathledger.schema import SNAPSHOT_MANIFEST
@@ -30,7 +31,7 @@ from pathledger.sources.catalog import write_catalog
 _UPSERT, _DELETE = "upsert", "delete"
 _BATCH = "batch_id"
 
-# Tables of fixed columns; a delta has those of the listings.
+# Tables of fixed columns; a delta has those of the base.
 _SCHEMAS = {
     "polls": "snapshot_id long, new long, modified long, deleted long, moved long, completed long",
     "bases": "kind string",
@@ -54,15 +55,11 @@ def publish_snapshot(files: DataFrame, snapshot_id, location, manifests):
     line.write.mode("append").json(manifests)
 
 
-def _stored(spark, root, kind):
+def _stored(spark, root, kind, schema=None):
     """A table of the monitor, with the batch that wrote each row."""
-    reader = spark.read
-    if kind in _SCHEMAS:
-        reader = reader.schema(f"{_SCHEMAS[kind]}, {_BATCH} long")
-    else:
-        reader = reader.option("mergeSchema", True)
-    table = reader.parquet(f"{root}/{kind}")
-    return table.withColumn(_BATCH, F.col(_BATCH).cast("bigint"))
+    fields = schema or T.StructType.fromDDL(_SCHEMAS[kind])
+    fields = T.StructType([*fields, T.StructField(_BATCH, T.LongType())])
+    return spark.read.schema(fields).parquet(f"{root}/{kind}")
 
 
 def _latest(spark, root, kind, before=None):
@@ -98,12 +95,14 @@ def current_catalog(spark: SparkSession, root, before=None) -> DataFrame:
         return None
     start = _latest(spark, root, "bases", last + 1)
     base = spark.read.parquet(f"{root}/base/{_BATCH}={start}")
-    later = _stored(spark, root, "delta").filter((F.col(_BATCH) > start) & (F.col(_BATCH) <= last))
+    columns = T.StructType([*base.schema, T.StructField("op", T.StringType())])
+    deltas = _stored(spark, root, "delta", columns)
+    later = deltas.filter((F.col(_BATCH) > start) & (F.col(_BATCH) <= last))
     row = F.max_by(F.struct(*[c for c in later.columns if c != _BATCH]), _BATCH).alias("row")
     latest = later.groupBy("path").agg(row).select("row.*")
     kept = base.join(latest.select("path"), "path", "left_anti")
     entered = latest.filter(F.col("op") == _UPSERT).drop("op")
-    return kept.unionByName(entered, allowMissingColumns=True)
+    return kept.unionByName(entered)
 
 
 def compact(spark: SparkSession, root):
@@ -134,19 +133,15 @@ def _write_base(catalog, root, batch_id):
     _write(marker, root, "bases", batch_id)
 
 
-def _delta(curr, found):
-    """Catalog rows to write for a change set: upserts from the listing, deletes by path."""
-    entering = found.filter(F.col("change_type") != DELETED)
-    entered = curr.join(entering.select("path"), "path", "left_semi").withColumn(
-        "op", F.lit(_UPSERT)
-    )
-    left = F.array_compact(
-        F.array(F.when(F.col("change_type") == DELETED, F.col("path")), F.col("old_path"))
-    )
-    gone = found.select(F.explode(left).alias("path")).distinct()
-    return entered.unionByName(
-        gone.withColumn("op", F.lit(_DELETE)), allowMissingColumns=True
-    )
+def _delta(diff, curr):
+    """Catalog rows to write for a diff: upserts with all columns, deletes by path.
+
+    The diff brings the rows along, so the listing is not joined a second time. Moved files are
+    among its new and deleted paths.
+    """
+    entered = rows_of_diff(diff, curr).withColumn("op", F.lit(_UPSERT))
+    gone = diff.filter(F.col("change_type") == DELETED).select("path", F.lit(_DELETE).alias("op"))
+    return entered.unionByName(gone, allowMissingColumns=True)
 
 
 def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFrame, verify=False):
@@ -160,8 +155,10 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
         # The first listing is only the baseline.
         _write_base(curr, root, batch_id)
     else:
-        diff, rows = stored_diff(prev, curr, hashes=verify)
-        _write(changes_from_diff(diff, rows, verify), root, "changes", batch_id)
+        # Intermediate tables of a poll replace those of the poll before.
+        work = f"{root}/work"
+        diff, rows = stored_diff(prev, curr, hashes=verify, rows=True, folder=work)
+        _write(changes_from_diff(diff, rows, verify, work), root, "changes", batch_id)
         found = changes(spark, root).filter(F.col(_BATCH) == batch_id).drop(_BATCH)
         moves = found.filter(F.col("change_type") == MOVED)
         _write(
@@ -175,7 +172,7 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
             "move_history",
             batch_id,
         )
-        _write(_delta(curr, found), root, "delta", batch_id)
+        _write(_delta(diff, curr), root, "delta", batch_id)
         # At most four rows.
         rows = found.groupBy("change_type").agg(F.count(F.lit(1)).alias("n")).collect()
         counts = {row["change_type"]: row["n"] for row in rows}

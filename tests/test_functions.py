@@ -48,6 +48,8 @@ def test_base_name_and_directory(spark):
     given = ["C:\\a\\b.txt", "b.txt", "C:\\a\\", "\\\\s\\h\\f"]
     assert apply(spark, paths.base_name, given) == [ntpath.basename(p) for p in given]
     assert apply(spark, paths.directory_of, given) == ["C:\\a", "", "C:\\a", "\\\\s\\h"]
+    assert apply(spark, paths.base_name, ["/a.b/c", "C:/x\\y/z"]) == ["c", "z"]
+    assert apply(spark, paths.directory_of, ["/a.b/c", "C:/x\\y/z"]) == ["/a.b", "C:/x\\y"]
 
 
 def test_drive(spark):

@@ -90,6 +90,9 @@ def test_stored_catalog_search_is_pushed_down(spark, sf_dir, tmp_path):
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThan(size,1024)" in pushed and "StringEndsWith(path,.py)" in pushed
     assert found.count() > 0
+    spark.conf.set("spark.pathledger.catalog", str(tmp_path / "c"))
+    assert search_files("*.py", size=">1KB").collect() == found.collect()
+    assert search_files(modified="today").count() == 0
 
 
 def test_substring_and_component_skips_differ(spark):

@@ -2,6 +2,7 @@
 
 import datetime
 import gzip
+import hashlib
 import io
 import os
 import tarfile
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pathledger.functions.paths import path_depth
 from pathledger.operators import archives, filters
 from pathledger.plans import fixtures as fx
+from pathledger.schema import FILES
 from pathledger.sources import catalog, checkpoints, listing, scan
 from pathledger.sources.archive_members import archive_members
 from pathledger.sources.remote import _Handle
@@ -141,6 +143,21 @@ def test_walk_sees_every_file_and_no_link(spark, tree):
     assert (row["modified_ns"], row["ext"]) == (info.st_mtime_ns, ".txt")
 
 
+def test_catalog_of_a_walk(spark, tree):
+    (tree / "sub" / "p.tar.gz").write_bytes(b"x" * 2000)
+    (tree / "sub" / "q.DLL").write_bytes(b"x")
+    (tree / "robin").mkdir()
+    (tree / "robin" / "r.txt").write_bytes(b"r")
+    found = scan.files_from_scan(scan.walk_files(spark, str(tree)), drive="N:")
+    rows = {os.path.relpath(r["path"], tree): r for r in found.collect()}
+    # "bin" is part of robin and of $bin, ".git" of .git; logs and libraries are left out.
+    assert set(rows) == {"a.txt", ".dot", "_low", "sub/deep/c.py", "sub/empty.txt", "sub/p.tar.gz"}
+    for name, row in rows.items():
+        assert row["content_hash"] == hashlib.md5((tree / name).read_bytes()).hexdigest()
+        assert row["is_archive"] == (name == "sub/p.tar.gz") and row["drive"] == "N:"
+    assert [f.name for f in found.schema] == FILES.fieldNames()
+
+
 def test_walk_prunes_directories(spark, tree):
     hidden = scan.walk_files(spark, str(tree), skip_hidden=True)
     assert below(tree, hidden) == sorted(["a.txt", ".dot", "_low", "sub/b.LOG", "sub/deep/c.py", "sub/empty.txt"])
