@@ -42,7 +42,7 @@ def base_name(path):
 
 
 def directory_of(path):
-    """Everything before the last separator; empty if there is none."""
+    """The part before the last separator; empty if there is none."""
     return F.regexp_extract(_col(path), r"(?s)^(.*)[\\/][^\\/]*$", 1)
 
 

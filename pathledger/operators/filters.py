@@ -95,6 +95,12 @@ def only_archives(df: DataFrame) -> DataFrame:
     return df.filter("is_archive")
 
 
+def archives_to_scan(df: DataFrame, drives=DRIVES) -> DataFrame:
+    """Keep archives of the drives whose configuration asks for their contents."""
+    wanted = {key: value for key, value in drives.items() if value.get("scan_archives")}
+    return configured_drives(only_archives(df), wanted)
+
+
 def only_success(df: DataFrame) -> DataFrame:
     """Keep scan results without an error."""
     return df.filter(F.col("error").isNull())

@@ -25,7 +25,7 @@ from pathledger.operators.snapshots import (
     rows_of_diff,
     stored_diff,
 )
-from pathledger.schema import SNAPSHOT_MANIFEST
+from pathledger.schema import POLL_SECONDS, SNAPSHOT_MANIFEST
 from pathledger.sources.catalog import write_catalog
 
 _UPSERT, _DELETE = "upsert", "delete"
@@ -183,10 +183,19 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
     _write(summary, root, "polls", batch_id)
 
 
-def monitor(spark: SparkSession, manifests, root, read_snapshot=None, verify=False, trigger=None):
+def monitor(
+    spark: SparkSession,
+    manifests,
+    root,
+    read_snapshot=None,
+    verify=False,
+    compact_every=86_400 // POLL_SECONDS,
+    trigger=None,
+):
     """Start the stream over ``manifests`` and return its query.
 
     ``read_snapshot(spark, location)`` gives the listing as a catalog table; Parquet by default.
+    The deltas of ``compact_every`` polls, by default those of a day, are folded into a new base.
     ``trigger`` defaults to working off what is there and stopping; pass
     ``{"processingTime": "300 seconds"}`` to keep polling. Stopped or failed, the stream continues
     after the last completed poll.
@@ -194,14 +203,15 @@ def monitor(spark: SparkSession, manifests, root, read_snapshot=None, verify=Fal
     read_snapshot = read_snapshot or (lambda session, location: session.read.parquet(location))
 
     def poll(batch, batch_id):
-        # One manifest line per batch; a manifest file with several is worked off in order.
-        lines = batch.orderBy("snapshot_id").collect()
+        lines = batch.take(2)
         if len(lines) > 1:
             raise ValueError("a manifest file must announce one snapshot")
+        session = batch.sparkSession
         for line in lines:
-            session = batch.sparkSession
             curr = read_snapshot(session, line["location"])
             process_poll(session, root, batch_id, line["snapshot_id"], curr, verify)
+        if (batch_id + 1) % compact_every == 0:
+            compact(session, root)
 
     return (
         spark.readStream.schema(SNAPSHOT_MANIFEST)

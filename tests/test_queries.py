@@ -31,6 +31,8 @@ def rows_of(columns, names, rows):
 def test_query_equals_its_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)
     found = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     cursor = duck.execute(ORACLES[name])
     names = [column[0] for column in cursor.description]
     columns = sorted(df.columns)

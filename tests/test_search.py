@@ -106,6 +106,12 @@ def test_substring_and_component_skips_differ(spark):
     assert kept == ["C:\\robin\\x", "C:\\bin\\x", "C:\\Windows"]
 
 
+def test_archives_of_drives_that_ask_for_it(spark):
+    rows = [("C:", True), ("D:", True), ("D:", False), ("Q:", True)]
+    df = spark.createDataFrame(rows, "drive string, is_archive boolean")
+    assert [tuple(r) for r in filters.archives_to_scan(df).collect()] == [("D:", True)]
+
+
 def test_depth_limit_keeps_files_at_the_limit(spark):
     df = spark.createDataFrame([("f",), ("a\\f",), ("a\\b\\f",), ("a\\b\\c\\f",)], "relative string")
     assert filters.max_depth(df, 2).count() == 3

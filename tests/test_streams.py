@@ -59,6 +59,25 @@ def test_polls_stop_resume_and_compaction(spark, pair, tmp_path):
     assert table(monitor.current_catalog(spark, root), *FILE_COLUMNS) == table(fx.as_catalog(prev), *FILE_COLUMNS)
 
 
+def test_deltas_are_folded_into_a_new_base(spark, pair, tmp_path):
+    root, (prev, curr) = str(tmp_path), pair
+    for number, snapshot in enumerate((prev, curr, prev, curr), start=1):
+        publish(snapshot, number, root)
+    run(spark, root, compact_every=2)
+    assert sorted(p.name for p in (tmp_path / "base").iterdir()) == ["batch_id=0", "batch_id=1", "batch_id=3"]
+    back = ops.moves_name_size(curr, prev).count()
+    assert [c[3] for c in counts(spark, root)] == [0, 30, back, 30]
+    assert table(monitor.current_catalog(spark, root), *FILE_COLUMNS) == table(fx.as_catalog(curr), *FILE_COLUMNS)
+
+
+def test_manifest_of_two_snapshots_is_refused(spark, pair, tmp_path):
+    root = str(tmp_path)
+    lines = spark.createDataFrame([(1, "a"), (2, "b")], "snapshot_id long, location string")
+    lines.coalesce(1).write.json(f"{root}/m")
+    with pytest.raises(Exception, match="one snapshot"):
+        run(spark, root)
+
+
 def test_repeated_batch_changes_nothing(spark, pair, tmp_path):
     root, (prev, curr) = str(tmp_path), pair
     prev, curr = fx.as_catalog(prev), fx.as_catalog(curr)
