@@ -2,13 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from pathledger.llm import chat, mixing, simhash
+from pathledger.llm import chat, mixing, quality_rules, quality_select, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
 
-# 100 times the query's figure in the check stays the session's; nothing is set here.
-
 
 def query(sql=None):
     """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL."""
@@ -113,3 +111,24 @@ def op4_chat_formatting(spark, sf_dir):
 def op5_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op7_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rated = quality_rules.rate(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+    return rated.select("doc.doc_id", *quality_rules.BASE, "base_failed", "probability", "kept")
+
+
+@query()
+def op9_quality_selection(spark, sf_dir):
+    return quality_select.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = toxicity.held_out(F.col("doc.doc_id")).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc.doc_id", held_out, "score", predicted)
