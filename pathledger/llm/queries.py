@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathledger.llm import chat, mixing, quality_rules, quality_select, simhash, toxicity
+from pathledger.llm import chat, mixing, pii, quality_rules, quality_select, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -120,6 +120,13 @@ def op7_quality_rules(spark, sf_dir):
     return rated.select("doc.doc_id", *quality_rules.BASE, "base_failed", "probability", "kept")
 
 
+@query()
+def op8_personal_data(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc.doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query()
 def op9_quality_selection(spark, sf_dir):
     return quality_select.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
