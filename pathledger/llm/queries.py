@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathledger.llm import chat, mixing, pii, quality_rules, quality_select, simhash, toxicity
+from pathledger.llm import chat, decontaminate, mixing, pii, quality_rules, quality_select, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +24,29 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    r"""
+    WITH d AS (
+      SELECT DISTINCT text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+      FROM documents),
+    i AS (
+      SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+      FROM benchmark),
+    ds AS (SELECT DISTINCT text, array_to_string(w[p : p + 4], ' ') AS s
+      FROM (SELECT text, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
+    one AS (SELECT DISTINCT item_id, array_to_string(w[p : p + 4], ' ') AS s
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)),
+    hit AS (
+      SELECT text, item_id, count(*) AS shared, any_value(total) AS total
+      FROM ds JOIN (SELECT *, count(*) OVER (PARTITION BY item_id) AS total FROM one) USING (s)
+      GROUP BY text, item_id HAVING count(*) * 10 >= any_value(total) * 8)
+    SELECT doc_id, item_id, shared, CAST(total AS INTEGER) AS total FROM documents JOIN hit USING (text)
+    """
+)
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op3_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
