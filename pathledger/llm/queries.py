@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathledger.llm import chat, decontaminate, mixing, pii, quality_rules, quality_select, simhash, toxicity
+from pathledger.llm import chat, decontaminate, mixing, pii, quality_rules, quality_select, simhash, substrings, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -136,6 +136,12 @@ def op5_mixing(spark, sf_dir):
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op6_repeated_strings(spark, sf_dir):
+    found = substrings.find_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query()
 def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
