@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathledger.llm import chat, decontaminate, mixing, pii, quality_rules, quality_select, simhash, substrings, toxicity
+from pathledger.llm import chat, decontaminate, mixing, pii, quality_rules, quality_select, secrets, simhash, substrings, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -47,6 +47,12 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op2_secrets(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", F.sha2("value", 256).alias("value_sha256"), "probability", "secret")
+
+
 @query()
 def op3_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
