@@ -160,9 +160,9 @@ def _linker(masks, names, radius, sketch_radius, bucket_rows):
     n = len(names)
 
     def out(hot, t, a, b):
-        columns = [pa.array(np.full(len(t), hot)), pa.array(t)]
+        columns = [pa.array(np.full(len(t), hot)), pa.array(t), pa.array(table[t].view(np.int64))]
         columns += [pa.array(x.view(np.int64)) for x in (*a, *b)]
-        labels = ["hot", "t", *[f"a_{c}" for c in names], *[f"b_{c}" for c in names]]
+        labels = ["hot", "t", "mask", *[f"a_{c}" for c in names], *[f"b_{c}" for c in names]]
         return pa.RecordBatch.from_arrays(columns, labels)
 
     def solve(t, values):
@@ -216,11 +216,6 @@ def _linker(masks, names, radius, sketch_radius, bucket_rows):
     return link
 
 
-def _key_bits(masks):
-    table = F.array(*[F.lit(_signed(m)) for m in masks])
-    return F.col("fp").bitwiseAND(F.element_at(table, F.col("t") + 1))
-
-
 def classes(rows: DataFrame, radius=4, sketch_radius=None, bucket_rows=BUCKET) -> DataFrame:
     """Distinct fingerprints with their class: columns of ``rows`` and ``class_id``, a long.
 
@@ -237,16 +232,19 @@ def classes(rows: DataFrame, radius=4, sketch_radius=None, bucket_rows=BUCKET) -
     names = rows.columns
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sides = [f"{side}_{c} bigint" for side in "ab" for c in names]
-    schema = ", ".join(["hot boolean", "t int", *sides])
+    schema = ", ".join(["hot boolean", "t int", "mask bigint", *sides])
     ident = F.xxhash64(*names)
     masks = covering_masks(radius, range(BITS))
     tables = F.explode(F.array(*[F.lit(i) for i in range(len(masks))]))
+    # The first masks are few enough to stand in the plan; finer ones come from a table.
     todo = rows.select(tables.alias("t"), *names)
+    # The first masks stand in the plan, so a short number for the table is all a row carries;
+    # finer ones are too many for that and come with the rows.
+    mask = F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("t") + 1)
     links = None
     while True:
-        key = _key_bits(masks)
-        dealt = todo.repartition(width, "t", key).sortWithinPartitions("t", key, *names)
-        # Python looks masks up in arrays, so a short number for the table is all a row carries.
+        key = F.col("fp").bitwiseAND(mask)
+        dealt = todo.repartition(width, "t", key).sortWithinPartitions("t", key, *names).select("t", *names)
         work = _linker(masks, names, radius, sketch_radius, bucket_rows)
         found = materialise(dealt.mapInArrow(work, schema), "found")
         new = found.filter("not hot").select(
@@ -257,38 +255,45 @@ def classes(rows: DataFrame, radius=4, sketch_radius=None, bucket_rows=BUCKET) -
         joined = components(links)
         labelled = rows.withColumn("node", ident).join(joined, "node", "left")
         labelled = labelled.withColumn("class_id", F.coalesce("root", "node"))
-        hot = found.filter("hot").select("t", *[F.col(f"a_{c}").alias(c) for c in names])
+        hot = found.filter("hot").select("t", "mask", *[F.col(f"a_{c}").alias(c) for c in names])
         if hot.isEmpty():
             return labelled.select(*names, "class_id")
         # Buckets of one class are done; the others are cut along bits they do not share.
+        key = F.col("fp").bitwiseAND(F.col("mask"))
         held = hot.join(labelled.select(*names, "class_id"), names)
         mixed = held.groupBy("t", key.alias("key")).agg(
-            F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count(F.lit(1)).alias("n")
-        )
-        mixed = materialise(mixed.filter("low <> high").select("t", "key", "n"), "mixed")
-        # One row per table at most.
-        sizes = {row.t: row.n for row in mixed.groupBy("t").agg(F.max("n").alias("n")).collect()}
+            F.min("class_id").alias("low"), F.max("class_id").alias("high"),
+            F.count(F.lit(1)).alias("n"), F.approx_count_distinct("fp").alias("apart"),
+        )
+        mixed = materialise(mixed.filter("low <> high").select("t", "key", "n", "apart"), "mixed")
+        # One row per table at most. The estimate decides how to cut, not what is found.
+        largest = mixed.groupBy("t").agg(F.max(F.struct("n", "apart")).alias("m")).collect()
+        sizes = {row.t: (row.m.n, row.m.apart) for row in largest}
         if not sizes:
             return labelled.select(*names, "class_id")
-        hot = materialise(hot.withColumn("key", key).join(mixed, ["t", "key"]), "hot")
-        finer, parts = [], []
-        for t, n in sorted(sizes.items()):
+        hot = materialise(hot.withColumn("key", key).join(mixed.select("t", "key"), ["t", "key"]), "hot")
+        finer, steps = [], []
+        for t, (n, apart) in sorted(sizes.items()):
             rest = [i for i in range(BITS) if not masks[t] >> i & 1]
-            if len(rest) > radius:
-                places = [F.lit(len(finer) + i) for i in range(len(covering_masks(radius, rest)))]
-                finer += [masks[t] | m for m in covering_masks(radius, rest)]
-                parts.append((t, F.array(*places)))
+            if len(rest) > radius and apart > n // 8:
+                more = [masks[t] | m for m in covering_masks(radius, rest)]
+                steps += [(t, 1, 0, len(finer) + i) for i in range(len(more))]
+                finer += more
                 continue
-            # Hardly a bit is left: each block of the bucket meets each other block.
-            blocks = -(-2 * n // bucket_rows) + 1
-            own = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
-            other = F.sequence(F.lit(0), F.lit(blocks - 1))
-            place = F.transform(other, lambda o: F.least(o, own) * blocks + F.greatest(o, own) + len(finer))
-            finer += [masks[t]] * blocks**2
-            parts.append((t, place))
-        options = F.coalesce(*[F.when(F.col("t") == t, place) for t, place in parts])
-        todo = hot.select(F.explode(options).alias("t"), *names)
-        masks = finer
+            # Most rows share all bits: each block of the bucket meets each other block. Two
+            # blocks hold half of what a bucket may, so they are not hot again.
+            blocks = -(-4 * n // bucket_rows) + 1
+            pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+            for k, (i, j) in enumerate(pairs):
+                steps += [(t, blocks, own, len(finer) + k) for own in {i, j}]
+            finer += [masks[t]] * len(pairs)
+        steps = spark.createDataFrame(steps, "t int, blocks int, own int, next int")
+        cuts = spark.createDataFrame([(i, _signed(m)) for i, m in enumerate(finer)], "next int, mask bigint")
+        blocks = steps.select("t", "blocks").distinct()
+        own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int").alias("own")
+        todo = hot.join(blocks, "t").select("t", own, *names).join(steps.join(cuts, "next"), ["t", "own"])
+        todo = todo.select(F.col("next").alias("t"), "mask", *names)
+        masks, mask = finer, F.col("mask")
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", radius=4, bucket_rows=BUCKET) -> DataFrame:

@@ -1,0 +1,46 @@
+import re
+
+import pytest
+from pathledger.llm import mixing
+
+
+def fill(sizes, share=1.5, epochs=2):
+    """Targets by rounds of clamping."""
+    names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, full = share * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in names if s not in full]
+        level = (total - sum(full.values())) / max(1, sum(weight[s] for s in rest))
+        over = [s for s in rest if level * weight[s] > epochs * sizes[s]]
+        if not over:
+            return full | {s: level * weight[s] for s in rest}
+        full |= {s: epochs * sizes[s] for s in over}
+
+
+def test_mix_equals_brute_force(spark, documents, odd, prose):
+    rows = odd + [(10 + i, prose(i, 5 + 7 * i)) for i in range(40)]
+    docs = documents(rows)
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows)
+    sizes = {}
+    for r in found:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.doc.text or ""))
+        assert 0 <= r.taken <= 2 * r.size
+        sizes[r.doc.source] = sizes.get(r.doc.source, 0) + r.size
+    aims = fill(sizes)
+    for source, target in aims.items():
+        mine = [r for r in found if r.doc.source == source]
+        assert {r.source_size for r in mine} == {sizes[source]}
+        assert [r.target for r in mine] == pytest.approx([target] * len(mine))
+        assert abs(sum(r.taken for r in mine) - target) <= 0.5
+    again = mixing.mix(docs.repartition(7)).collect()
+    plain = lambda rows: sorted(((r.doc.doc_id, r.size, r.taken) for r in rows), key=repr)
+    assert plain(again) == plain(found)
+
+
+def test_all_sources_clamped_and_no_words(spark, documents):
+    assert mixing.mix(documents([])).collect() == []
+    assert [r.taken for r in mixing.mix(documents([(1, None), (2, "")])).collect()] == [0, 0]
+    # Three epochs of all are wanted, two may be had.
+    assert {r.taken for r in mixing.mix(documents([(1, "a b"), (2, "c")]), share=3.0).collect()} == {4, 2}
