@@ -1,5 +1,8 @@
 """SimHash near-duplicates by covering locality-sensitive hashing."""
 
+import functools
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,21 +18,39 @@ BUCKET = 2048
 _STRIPE = 1 << 16
 
 
+def _spread_vectors(bits, n):
+    """``n`` non-zero vectors of ``bits`` bits, such that every product with them is odd for many."""
+    count = (1 << bits) - 1
+    if n >= count:
+        return [1 + i % count for i in range(n)]
+
+    def fewest(vectors):
+        return min(sum((m & v).bit_count() % 2 for m in vectors) for v in range(1, count + 1))
+
+    rng = random.Random(bits * 1000 + n)
+    # The vectors of one bit make no product empty, those with the leading bit set make halves.
+    tries = [[1 << i for i in range(min(bits, n))] + rng.sample(range(1, count + 1), max(0, n - bits))]
+    tries.append([(1 << (bits - 1)) + i % (1 << (bits - 1)) for i in range(n)])
+    tries += [rng.sample(range(1, count + 1), n) for _ in range(60)]
+    return max(tries, key=fewest)
+
+
+@functools.cache
+def _products(radius, n):
+    vectors = _spread_vectors(radius + 1, n)
+    return [[i for i, m in enumerate(vectors) if (m & v).bit_count() % 2] for v in range(1, 1 << (radius + 1))]
+
+
 def covering_masks(radius, positions):
     """2 ** (radius + 1) - 1 bit masks: any ``radius`` positions are left out by some mask.
 
-    Each position i gets a non-zero vector m(i) of radius + 1 bits, dealt evenly. Mask v has the
-    positions whose vector has an odd product with v. Some non-zero v is orthogonal to any
-    ``radius`` vectors, so fingerprints that differ in at most ``radius`` of the positions agree
-    under that mask. A mask keeps about half of the positions.
+    Each position i gets a non-zero vector m(i) of radius + 1 bits. Mask v has the positions whose
+    vector has an odd product with v. Some non-zero v is orthogonal to any ``radius`` vectors, so
+    fingerprints that differ in at most ``radius`` of the positions agree under that mask. A mask
+    keeps about half of the positions, and one at least if there are more than ``radius``.
     """
-    n = 1 << (radius + 1)
-    vectors = [1 + i % (n - 1) for i in range(len(positions))]
-    masks = set()
-    for v in range(1, n):
-        mask = sum(1 << p for p, m in zip(positions, vectors, strict=True) if (m & v).bit_count() % 2)
-        masks.add(mask)
-    return sorted(masks)
+    positions = list(positions)
+    return sorted({sum(1 << positions[i] for i in chosen) for chosen in _products(radius, len(positions))})
 
 
 def _signed(x):
