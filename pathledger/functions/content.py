@@ -1,8 +1,9 @@
-"""Content fingerprints."""
+"""Content fingerprints: of the whole content, or sampled from head and tail."""
 
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -29,28 +30,44 @@ def smart_hash(content, size):
     )
 
 
-def _hash_at(path, size):
-    """The same fingerprint read from a file, at most 2 MiB of it when it is large."""
-    if not 0 <= size <= HASH_LIMIT:
-        return None
+def _sampled(size):
+    """Byte ranges that the sampled fingerprint covers, and what it adds at the end."""
+    if size < BLOCK:
+        return [(0, size)], b""
+    tail = [(size - BLOCK, BLOCK)] if size > 2 * BLOCK else []
+    return [(0, BLOCK), *tail], str(size).encode()
+
+
+def _digest_at(path, ranges, ending=b""):
+    """MD5 over byte ranges of a file, read in blocks; NULL if it cannot be read."""
+    digest = hashlib.md5()
     try:
         with open_for_reading(path) as handle:
-            if size < BLOCK:
-                return hashlib.md5(handle.read()).hexdigest()
-            digest = hashlib.md5(handle.read(BLOCK))
-            if size > 2 * BLOCK:
-                handle.seek(-BLOCK, 2)
-                digest.update(handle.read(BLOCK))
-            digest.update(str(size).encode())
-            return digest.hexdigest()
-    except OSError:
+            for start, length in ranges:
+                if start:
+                    handle.seek(start)
+                while length > 0 and (block := handle.read(int(min(BLOCK, length)))):
+                    digest.update(block)
+                    length -= len(block)
+    except (OSError, pa.ArrowException):
         return None
+    digest.update(ending)
+    return digest.hexdigest()
+
+
+@F.pandas_udf(StringType())
+def content_md5_at(path: pd.Series) -> pd.Series:
+    """MD5 of the whole content of the file at ``path``, of any size; NULL for an unreadable file."""
+    return pd.Series([None if p is None else _digest_at(p, [(0, float("inf"))]) for p in path], dtype=object)
 
 
 @F.pandas_udf(StringType())
 def smart_hash_at(path: pd.Series, size: pd.Series) -> pd.Series:
     """``smart_hash`` of the file at ``path``; of a file over 2 MiB only head and tail are read.
 
-    NULL for an unreadable file and for a negative size.
+    A sample: files that differ in the middle agree, so it is no ``content_hash``. NULL for an
+    unreadable file, for a negative size and above the fixed limit.
     """
-    return pd.Series([_hash_at(p, int(s)) for p, s in zip(path, size)], dtype=object)
+    sizes = [int(s) for s in size]
+    found = [_digest_at(p, *_sampled(s)) if 0 <= s <= HASH_LIMIT else None for p, s in zip(path, sizes)]
+    return pd.Series(found, dtype=object)

@@ -19,12 +19,15 @@ def cap_per_root(files: DataFrame, rows=ROOT_CAP, root="drive") -> DataFrame:
     return first_rows(files, rows, ["path"], [root])
 
 
-def latest_version(files: DataFrame, version="snapshot_id", key="path") -> DataFrame:
+def latest_version(files: DataFrame, version="snapshot_id", key="path", tie=()) -> DataFrame:
     """One row per path, that of the latest version.
 
-    An aggregate, not a window: repeated rows of a hot path combine before the shuffle.
+    Of equal versions the row with the largest ``tie`` columns holds, by default all columns in
+    their order, so that reruns agree. An aggregate, not a window: repeated rows of a hot path
+    combine before the shuffle.
     """
-    row = F.max_by(F.struct(*files.columns), version).alias("row")
+    order = F.struct(F.col(version).alias("v"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie or files.columns)])
+    row = F.max_by(F.struct(*files.columns), order).alias("row")
     return files.groupBy(key).agg(row).select("row.*")
 
 

@@ -2,10 +2,12 @@
 
 import datetime
 import re
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathledger.functions.paths import base_name
+from pathledger.sources.catalog import read_catalog
 
 # Binary multiples of the size units.
 UNITS = {"": 1, "B": 1, "KB": 1024, "MB": 1024**2, "GB": 1024**3, "TB": 1024**4}
@@ -80,8 +82,9 @@ def search_size(df: DataFrame, size, column="size") -> DataFrame:
         raise ValueError(f"not a size test: {size!r}")
     sign, number, unit = found.groups()
     unit = unit if unit.endswith("B") or not unit else unit + "B"
-    amount = float(number) * UNITS[unit]
-    amount = int(amount) if amount == int(amount) else amount
+    amount = Decimal(number) * UNITS[unit]
+    # Sizes are whole numbers; a fraction only moves the limit of an inequality.
+    amount = int(amount) if amount == int(amount) else float(amount)
     return df.filter(_COMPARE[sign](F.col(column), amount))
 
 
@@ -103,4 +106,4 @@ def search_files(name=None, modified=None, size=None, *, catalog=None, spark=Non
     """
     spark = spark or SparkSession.active()
     catalog = catalog or spark.conf.get("spark.pathledger.catalog")
-    return search(spark.read.parquet(catalog), name, modified, size, **options)
+    return search(read_catalog(spark, catalog), name, modified, size, **options)

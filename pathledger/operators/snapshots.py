@@ -31,7 +31,8 @@ def deleted_files(prev: DataFrame, curr: DataFrame) -> DataFrame:
 
 
 def _differs():
-    return (F.col("c.size") != F.col("p.size")) | (F.col("c.mtime") != F.col("p.mtime"))
+    """Another size or time; a value that appears or goes is a change as well."""
+    return ~F.col("c.size").eqNullSafe(F.col("p.size")) | ~F.col("c.mtime").eqNullSafe(F.col("p.mtime"))
 
 
 def modified_files(prev: DataFrame, curr: DataFrame) -> DataFrame:
@@ -100,19 +101,30 @@ def _of(diff, change_type):
     return diff.filter(F.col("change_type") == change_type)
 
 
-def _matched_new(diff: DataFrame, how, rows) -> DataFrame:
+def _matched_new(diff: DataFrame, how, rows, verify=False) -> DataFrame:
     """New rows with the smallest deleted path of equal name and size, and both hashes.
 
-    The deleted side shrinks to one row per name and size before the join, so no pairs within a
-    group are ever formed and a match costs one row per new path.
+    With ``verify``, a path of equal hash comes first; then, where one of the hashes is missing,
+    the smallest path that does not contradict; different hashes do not match. The deleted side shrinks to one row per
+    key before each join, so no pairs within a group are ever formed and a match costs one row per new path.
     """
     diff = diff.withColumn("name", base_name("path"))
-    old = (
-        _of(diff, DELETED)
-        .groupBy("size", "name")
-        .agg(F.min(F.struct("path", "content_hash")).alias("old"))
+    deleted, old = _of(diff, DELETED), F.min(F.struct("path", "content_hash"))
+    unhashed = F.min(F.when(F.col("content_hash").isNull(), F.struct("path", "content_hash")))
+    plain = deleted.groupBy("size", "name").agg(
+        old.alias("old"), *([unhashed.alias("unhashed")] if verify else [])
     )
-    matched = lookup(_of(diff, NEW), old, ["size", "name"], how, left_rows=rows)
+    matched = lookup(_of(diff, NEW), plain, ["size", "name"], how, left_rows=rows)
+    if verify:
+        # A key that no hash has stands for a missing one.
+        hashed = deleted.withColumn("hash_key", F.col("content_hash")).filter("hash_key IS NOT NULL")
+        equal = hashed.groupBy("size", "name", "hash_key").agg(old.alias("equal"))
+        keyed = matched.withColumn("hash_key", F.coalesce("content_hash", F.lit("")))
+        matched = lookup(keyed, equal, ["size", "name", "hash_key"], "left_outer", left_rows=rows)
+        other = F.when(F.col("content_hash").isNull(), F.col("old")).otherwise(F.col("unhashed"))
+        matched = matched.withColumn("old", F.coalesce("equal", other))
+        if how == "inner":
+            matched = matched.filter("old IS NOT NULL")
     return matched.select(
         F.col("old.path").alias("old_path"),
         F.col("path").alias("new_path"),
@@ -122,13 +134,14 @@ def _matched_new(diff: DataFrame, how, rows) -> DataFrame:
     )
 
 
-def moves_from_diff(diff: DataFrame, rows=None) -> DataFrame:
+def moves_from_diff(diff: DataFrame, rows=None, verify=False) -> DataFrame:
     """Moves among the rows of a ``snapshot_diff``, by equal name and size.
 
     A new path gets at most one old path, the smallest; one old path may serve several new paths.
-    Empty files match as well. ``rows`` is the number of rows of ``diff``, if known.
+    Empty files match as well. ``rows`` is the number of rows of ``diff``, if known. ``verify``
+    looks for equal hashes first, see ``_matched_new``.
     """
-    return _matched_new(diff, "inner", rows).select(
+    return _matched_new(diff, "inner", rows, verify).select(
         "old_path",
         "new_path",
         "size",
@@ -163,7 +176,7 @@ def verified(moves: DataFrame) -> DataFrame:
 
 def moves_verified(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Moves between two snapshots that their content hashes do not contradict."""
-    return verified(moves_from_diff(*stored_diff(prev, curr)))
+    return verified(moves_from_diff(*stored_diff(prev, curr), verify=True))
 
 
 def changes_from_diff(diff: DataFrame, rows=None, verify=False, folder=None) -> DataFrame:
@@ -180,7 +193,7 @@ def changes_from_diff(diff: DataFrame, rows=None, verify=False, folder=None) ->
         kept = kept & confidence.isNotNull()
     # Stored, since both the new rows and the old paths they took are read from it.
     arrived = materialise(
-        _matched_new(diff, "left_outer", rows).withColumn("kept", kept), "arrived", folder
+        _matched_new(diff, "left_outer", rows, verify).withColumn("kept", kept), "arrived", folder
     )
     appeared = arrived.select(
         F.col("new_path").alias("path"),

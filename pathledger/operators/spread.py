@@ -63,6 +63,15 @@ def _sliced(df, group, order):
     return materialise(cut.select("*", F.spark_partition_id().alias("_slice"), place), "slices")
 
 
+def _on_slices(sliced, starts, group):
+    """Join each row with the figures of its group's slice; a NULL group is a group like any other."""
+    named = starts.select(*[F.col(c).alias(f"_of_{c}") if c in [*group, "_slice"] else F.col(c) for c in starts.columns])
+    same = F.col("_slice") == F.col("_of__slice")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return sliced.join(named, same)
+
+
 def _starts(sums, group, names):
     """What the slices before each slice of a group add up to."""
     # A group has at most one row per slice here.
@@ -88,7 +97,7 @@ def numbered(df: DataFrame, order, group=(), name="row_no") -> DataFrame:
     )
     starts = sums.select(*group, "_slice", "_first", *_starts(sums, group, ["rows"]))
     number = F.col("_start_rows") + F.col("_place") - F.col("_first") + 1
-    joined = sliced.join(starts, [*group, "_slice"])
+    joined = _on_slices(sliced, starts, group)
     return joined.select(*df.columns, number.alias(name))
 
 
@@ -109,7 +118,7 @@ def running_totals(df: DataFrame, order, totals, group=()) -> DataFrame:
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
     for name, value in totals.items():
         sliced = sliced.withColumn(f"_here_{name}", F.sum(_col(value)).over(inside))
-    joined = sliced.join(starts, [*group, "_slice"])
+    joined = _on_slices(sliced, starts, group)
     return joined.select(
         *df.columns,
         *[(F.col(f"_start_{name}") + F.col(f"_here_{name}")).alias(name) for name in totals],

@@ -80,9 +80,17 @@ def moves_name_size(spark, sf_dir):
 @query(
     _sql(
         """
-        SELECT old_path, new_path, new_hash AS content_hash,
-          CAST(CASE WHEN new_hash IS NULL THEN 0.9 ELSE 1.0 END AS DOUBLE) AS confidence
-        FROM moves WHERE new_hash IS NULL OR new_hash = old_hash
+        , pairs AS (
+          SELECT p.path AS old_path, c.path AS new_path, p.content_hash AS old_hash, c.content_hash AS new_hash
+          FROM curr c JOIN prev p ON c.size = p.size AND c.name = p.name
+          WHERE c.path NOT IN (SELECT path FROM prev) AND p.path NOT IN (SELECT path FROM curr)),
+        best AS (
+          SELECT new_path, new_hash, min(old_path) FILTER (old_hash = new_hash) AS equal,
+            min(old_path) FILTER (new_hash IS NULL OR old_hash IS NULL) AS unknown
+          FROM pairs GROUP BY new_path, new_hash)
+        SELECT coalesce(equal, unknown) AS old_path, new_path, new_hash AS content_hash,
+          CAST(CASE WHEN equal IS NULL THEN 0.9 ELSE 1.0 END AS DOUBLE) AS confidence
+        FROM best WHERE equal IS NOT NULL OR unknown IS NOT NULL
         """
     )
 )

@@ -35,7 +35,7 @@ def stream_snapshot_diff(spark, sf_dir):
     return monitor.changes(spark, root).select("path", "change_type", "old_path")
 
 
-@query(_sql("SELECT * FROM files"))
+@query(_sql("SELECT * FROM files WHERE path IN (SELECT path FROM curr)"))
 def stream_apply_changes(spark, sf_dir):
     return monitor.current_catalog(spark, _polled(spark, sf_dir))
 

@@ -31,21 +31,6 @@ ARCHIVE_MEMBERS = _struct(
     ("error", T.StringType(), True),
 )
 
-MOVES = _struct(
-    ("old_path", T.StringType(), False),
-    ("new_path", T.StringType(), False),
-    ("content_hash", T.StringType(), True),
-    ("confidence", T.DoubleType(), False),
-    ("detected_at", T.TimestampType(), True),
-)
-
-SCAN_RESULTS = _struct(
-    ("path", T.StringType(), False),
-    ("size", T.LongType(), True),
-    ("modified", T.DoubleType(), True),
-    ("error", T.StringType(), True),
-)
-
 # One line of a snapshot manifest: where a complete listing of all drives lies.
 SNAPSHOT_MANIFEST = _struct(
     ("snapshot_id", T.LongType(), False),
@@ -58,14 +43,13 @@ CHECKPOINT_ROWS = 10_000
 PROGRESS_ROWS = 1_000
 ROOT_CAP = 50_000
 TEST_LIMIT = 10_000
-TEST_DEPTH = 3
 POLL_SECONDS = 300
 HASH_LIMIT = 100 * 1024 * 1024
 ARCHIVE_LIMIT = 5 * 1024**3
 
 DRIVES = {
-    "C:": {"workers": 4, "priority": "low", "scan_archives": False},
-    "D:": {"workers": 8, "priority": "high", "scan_archives": True},
-    "E:": {"workers": 8, "priority": "high", "scan_archives": True},
-    "F:": {"workers": 8, "priority": "high", "scan_archives": True},
+    "C:": {"scan_archives": False},
+    "D:": {"scan_archives": True},
+    "E:": {"scan_archives": True},
+    "F:": {"scan_archives": True},
 }

@@ -2,9 +2,7 @@
 
 import calendar
 import io
-import pickle
 import tarfile
-import tempfile
 import zipfile
 from pathlib import PurePosixPath
 
@@ -12,12 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from pathledger.functions.paths import is_archive_scan
-from pathledger.operators.filters import listable_archives
 from pathledger.schema import ARCHIVE_MEMBERS
 from pathledger.sources.remote import open_for_reading
 
 _BATCH = 10_000
-_BUFFER = 64 * 1024 * 1024
 _COLUMNS = ARCHIVE_MEMBERS.fieldNames()
 
 
@@ -60,24 +56,24 @@ def _timestamp(seconds):
 def _rows(path, content):
     """Member rows of one archive, or one row with ``error`` if it cannot be read to its end.
 
-    Rows wait in a buffer that moves to disk when it grows, until the archive proves sound.
+    Nothing is kept: an archive is read once to prove sound, and again for its rows. Of a zip both
+    reads are of its directory alone.
     """
-    with tempfile.SpooledTemporaryFile(_BUFFER) as buffer:
-        count = 0
-        try:
-            with open_for_reading(path) if content is None else io.BytesIO(content) as handle:
-                for name, packed, size, modified in _members(path, handle):
-                    kind = PurePosixPath(name).suffix.lower()
-                    row = path, count, name, packed, size, _timestamp(modified), kind, None
-                    pickle.dump(row, buffer)
-                    count += 1
-        except Exception as error:  # Damaged archives fail in many ways; none may stop the job.
-            text = f"{type(error).__name__}: {error}"
-            yield path, None, None, None, None, None, None, text
-            return
-        buffer.seek(0)
-        for _ in range(count):
-            yield pickle.load(buffer)
+
+    def opened():
+        return open_for_reading(path) if content is None else io.BytesIO(content)
+
+    try:
+        with opened() as handle:
+            for _ in _members(path, handle):
+                pass
+    except Exception as error:  # Damaged archives fail in many ways; none may stop the job.
+        yield path, None, None, None, None, None, None, f"{type(error).__name__}: {error}"
+        return
+    with opened() as handle:
+        for count, (name, packed, size, modified) in enumerate(_members(path, handle)):
+            kind = PurePosixPath(name).suffix.lower()
+            yield path, count, name, packed, size, _timestamp(modified), kind, None
 
 
 def _frame(rows):
@@ -100,20 +96,28 @@ def _list_batches(batches):
         yield _frame(rows)
 
 
-def archive_members(archives: DataFrame, path="path", size="size", content=None) -> DataFrame:
+def archive_members(archives: DataFrame, path="path", size="size", content=None, limit=None) -> DataFrame:
     """One row per member of the archives among the given files, directories left out.
 
     Archives are opened at ``path`` inside the tasks, so of a zip only its directory is read.
-    With ``content``, a binary column, the bytes come from the table instead. Archives above
-    5 GiB are not opened. Formats are zip and tar, plain or compressed; a file of another archive
-    kind, or a damaged one, yields one ``error`` row and no members.
+    With ``content``, a binary column, the bytes come from the table instead. Archives of any size
+    are opened; with ``limit``, one of more bytes yields a row with the error ``skipped: size``.
+    Formats are zip and tar, plain or compressed; a file of another archive kind, or a damaged one,
+    yields one ``error`` row and no members.
     """
-    wanted = listable_archives(archives.filter(is_archive_scan(path)), size)
-    wanted = wanted.select(
+    found = archives.filter(is_archive_scan(path))
+    skipped = F.lit(False) if limit is None else F.coalesce(F.col(size) > limit, F.lit(False))
+    wanted = found.filter(~skipped).select(
         F.col(path).alias("path"), *([F.col(content).alias("content")] if content else [])
     )
     if content is None:
         # A path is a few bytes but opening it is work: spread archives by count, not by bytes.
         width = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         wanted = wanted.repartition(width, "path")
-    return wanted.mapInPandas(_list_batches, ARCHIVE_MEMBERS)
+    members = wanted.mapInPandas(_list_batches, ARCHIVE_MEMBERS)
+    if limit is None:
+        return members
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in ARCHIVE_MEMBERS.fields[1:-1]]
+    error = F.lit("skipped: size").alias("error")
+    left_out = found.filter(skipped).select(F.col(path).alias("archive_path"), *empty, error)
+    return members.unionByName(left_out)

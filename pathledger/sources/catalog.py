@@ -1,6 +1,7 @@
 """Catalog and move tables in Parquet."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pathledger.schema import SHARD_ROWS
 
@@ -8,10 +9,11 @@ from pathledger.schema import SHARD_ROWS
 def write_catalog(files: DataFrame, location, mode="append", rows=SHARD_ROWS):
     """Write catalog rows partitioned by drive, at most ``rows`` per file.
 
-    The rebalance hint gives each drive few, full files and splits a drive that holds most rows.
+    Rows of the empty drive name are left out; those without a drive are kept as such. The
+    rebalance hint gives each drive few, full files and splits a drive that holds most rows.
     """
     (
-        files.filter("drive <> ''")
+        files.filter("drive IS NULL OR drive <> ''")
         .hint("rebalance", "drive")
         .write.mode(mode)
         .partitionBy("drive")
@@ -21,9 +23,18 @@ def write_catalog(files: DataFrame, location, mode="append", rows=SHARD_ROWS):
     )
 
 
+def read_table(spark: SparkSession, location) -> DataFrame:
+    """A table partitioned by drive, whose names stay text: ``01`` is no number."""
+    found = spark.read.parquet(location)
+    kinds = [StructField(f.name, StringType()) if f.name == "drive" else f for f in found.schema]
+    if found.schema == StructType(kinds):
+        return found
+    return spark.read.schema(StructType(kinds)).parquet(location)
+
+
 def read_catalog(spark: SparkSession, *locations) -> DataFrame:
     """Rows of one or more catalogs; columns that one lacks are NULL."""
-    first, *rest = [spark.read.parquet(location) for location in locations]
+    first, *rest = [read_table(spark, location) for location in locations]
     for table in rest:
         first = first.unionByName(table, allowMissingColumns=True)
     return first

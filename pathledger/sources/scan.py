@@ -6,10 +6,9 @@ import stat
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathledger.functions.content import smart_hash_at
+from pathledger.functions.content import content_md5_at
 from pathledger.functions.paths import drive_of, ext_splitext, is_archive_scan
 from pathledger.operators.filters import only_success, skip_dirs_substring, skip_extensions
-from pathledger.schema import HASH_LIMIT
 from pathledger.session import fresh_folder
 
 _LISTED = (
@@ -84,6 +83,9 @@ def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidd
     ``depth`` limits the levels below a root, ``skip_names`` and ``skip_hidden`` (names starting
     with ``$`` or ``.``) leave whole directories out.
     """
+    # A directory below another root is listed once, with that one.
+    roots = sorted({root.rstrip("/") or "/" for root in roots})
+    roots = [r for r in roots if not any(r != o and f"{r}/".startswith(o.rstrip("/") + "/") for o in roots)]
     store = fresh_folder(spark, "walk")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = 0
@@ -117,25 +119,27 @@ def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidd
     )
 
 
-def files_from_scan(results: DataFrame, drive=None) -> DataFrame:
+def files_from_scan(results: DataFrame, drive=None, hash_limit=None) -> DataFrame:
     """Catalog rows of the files that a ``walk_files`` found, skip lists applied.
 
-    Files below 100 MiB get a fingerprint of their content, read inside the tasks. ``drive`` is
-    the name of the scanned root; by default the start of each path.
+    Files get the MD5 of their whole content, read block by block inside the tasks; with
+    ``hash_limit``, only files below that size. An unreadable file has none. ``drive`` is the
+    name of the scanned root; by default the start of each path.
     """
     kept = skip_extensions(skip_dirs_substring(only_success(results)))
     # Reading is work per file: spread the files by count.
     width = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = kept.repartition(width, "path")
-    small = F.col("size") < HASH_LIMIT
+    content_hash = content_md5_at("path")
+    if hash_limit is not None:
+        small = F.col("size") < hash_limit
+        content_hash = F.when(small, content_md5_at(F.when(small, F.col("path"))))
     return kept.select(
         "path",
         "size",
         "mtime",
         "ctime",
-        F.when(small, smart_hash_at("path", F.when(small, F.col("size")).otherwise(-1))).alias(
-            "content_hash"
-        ),
+        content_hash.alias("content_hash"),
         is_archive_scan("path").alias("is_archive"),
         (drive_of("path") if drive is None else F.lit(drive)).alias("drive"),
         "ext",

@@ -14,8 +14,10 @@ A batch that is repeated after a failure reads only what earlier batches wrote a
 own folders.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from pathledger.operators.ordering import latest_version
 from pathledger.operators.snapshots import (
     DELETED,
     MODIFIED,
@@ -26,7 +28,7 @@ from pathledger.operators.snapshots import (
     stored_diff,
 )
 from pathledger.schema import POLL_SECONDS, SNAPSHOT_MANIFEST
-from pathledger.sources.catalog import write_catalog
+from pathledger.sources.catalog import read_table, write_catalog
 
 _UPSERT, _DELETE = "upsert", "delete"
 _BATCH = "batch_id"
@@ -94,7 +96,7 @@ def current_catalog(spark: SparkSession, root, before=None) -> DataFrame:
     if last is None:
         return None
     start = _latest(spark, root, "bases", last + 1)
-    base = spark.read.parquet(f"{root}/base/{_BATCH}={start}")
+    base = read_table(spark, f"{root}/base/{_BATCH}={start}")
     columns = T.StructType([*base.schema, T.StructField("op", T.StringType())])
     deltas = _stored(spark, root, "delta", columns)
     later = deltas.filter((F.col(_BATCH) > start) & (F.col(_BATCH) <= last))
@@ -126,6 +128,16 @@ def _write_empty(curr, root):
     _write(curr.limit(0).withColumn("op", F.lit(_UPSERT)), root, "delta", -1)
 
 
+def _first_poll(spark, root):
+    try:
+        polls(spark, root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return True
+    return False
+
+
 def _write_base(catalog, root, batch_id):
     write_catalog(catalog, f"{root}/base/{_BATCH}={batch_id}", mode="overwrite")
     # The marker comes last: a base that was not finished is never read.
@@ -145,10 +157,21 @@ def _delta(diff, curr):
 
 
 def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFrame, verify=False):
-    """Compare one listing with the stored catalog and store what changed."""
-    curr = curr.filter("drive <> ''")
-    if batch_id == 0:
+    """Compare one listing with the stored catalog and store what changed.
+
+    A listing whose id is not above that of the last completed poll is stale: it came out of order
+    and changes nothing; its poll has NULL counts. Of a path that a listing repeats, the
+    newest row holds.
+    """
+    curr = latest_version(curr.filter("drive IS NULL OR drive <> ''"), "mtime")
+    if _first_poll(spark, root):
         _write_empty(curr, root)
+    earlier = polls(spark, root).filter(F.col(_BATCH) < batch_id)
+    done = earlier.agg(F.max("snapshot_id").alias("id"), F.coalesce(F.max("completed"), F.lit(0)).alias("n")).first()
+    if done.id is not None and snapshot_id <= done.id:
+        stale = _one_row(spark, _SCHEMAS["polls"], [snapshot_id, None, None, None, None, done.n])
+        _write(stale, root, "polls", batch_id)
+        return
     prev = current_catalog(spark, root, before=batch_id)
     counts = {}
     if prev is None:
@@ -159,7 +182,8 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
         work = f"{root}/work"
         diff, rows = stored_diff(prev, curr, hashes=verify, rows=True, folder=work)
         _write(changes_from_diff(diff, rows, verify, work), root, "changes", batch_id)
-        found = changes(spark, root).filter(F.col(_BATCH) == batch_id).drop(_BATCH)
+        # Only the folder of this poll, however many there are.
+        found = spark.read.schema(_SCHEMAS["changes"]).parquet(f"{root}/changes/{_BATCH}={batch_id}")
         moves = found.filter(F.col("change_type") == MOVED)
         _write(
             moves.select(
@@ -176,8 +200,7 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
         # At most four rows.
         rows = found.groupBy("change_type").agg(F.count(F.lit(1)).alias("n")).collect()
         counts = {row["change_type"]: row["n"] for row in rows}
-    earlier = polls(spark, root).filter(F.col(_BATCH) < batch_id)
-    completed = earlier.agg(F.coalesce(F.max("completed"), F.lit(0))).first()[0] + 1
+    completed = done.n + 1
     found = [counts.get(kind, 0) for kind in (NEW, MODIFIED, DELETED, MOVED)]
     summary = _one_row(spark, _SCHEMAS["polls"], [snapshot_id, *found, completed])
     _write(summary, root, "polls", batch_id)

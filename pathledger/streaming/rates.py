@@ -5,42 +5,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pathledger.functions.values import rate
 
 
-def windowed_counts(results: DataFrame, window="1 hour", late=None, at="scanned_at") -> DataFrame:
-    """Files and errors per drive and tumbling window of the timestamp ``at``.
-
-    ``late`` bounds how long a window stays open for late rows, and so the state of a stream.
-    """
-    if late:
-        results = results.withWatermark(at, late)
+def _counts(results, window, at):
     counted = results.groupBy(F.window(at, window), "drive").agg(
         F.count(F.lit(1)).alias("files"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
-    start, end = F.col("window.start"), F.col("window.end")
-    seconds = F.unix_seconds(end) - F.unix_seconds(start)
+    start, end = F.unix_seconds("window.start"), F.unix_seconds("window.end")
     return counted.select(
-        F.unix_seconds(start).alias("window_start"),
-        "drive",
-        "files",
-        "errors",
-        rate("files", seconds).alias("rate"),
+        start.alias("window_start"), (end - start).alias("seconds"), "drive", "files", "errors"
     )
 
 
-def stream_scan_rate(results: DataFrame, root, window="1 hour", late="1 hour", trigger=None):
+def _with_rate(counted):
+    return counted.withColumn("rate", rate("files", F.col("seconds"))).drop("seconds")
+
+
+def windowed_counts(results: DataFrame, window="1 hour", at="scanned_at") -> DataFrame:
+    """Files and errors per drive and tumbling window of the timestamp ``at``."""
+    return _with_rate(_counts(results, window, at))
+
+
+def stream_scan_rate(results: DataFrame, root, window="1 hour", trigger=None, at="scanned_at"):
     """Start a stream that keeps the counts of ``windowed_counts`` below ``root``; returns its query.
 
-    Each batch writes the windows it changed. ``live_rates`` reads the latest row per window, so
-    windows that are still open are reported as well.
+    Each batch stores the counts of its own rows, and ``live_rates`` adds them up. So no row is
+    too late, the stream holds no state, and a batch that is repeated replaces its own counts.
     """
 
     def store(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/rates/batch_id={batch_id}")
+        _counts(batch, window, at).write.mode("overwrite").parquet(f"{root}/rates/batch_id={batch_id}")
 
     return (
-        windowed_counts(results, window, late)
-        .writeStream.outputMode("update")
-        .foreachBatch(store)
+        results.writeStream.foreachBatch(store)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -48,9 +44,6 @@ def stream_scan_rate(results: DataFrame, root, window="1 hour", late="1 hour", t
 
 
 def live_rates(spark: SparkSession, root) -> DataFrame:
-    """The latest counts per drive and window of a ``stream_scan_rate``."""
-    stored = spark.read.parquet(f"{root}/rates")
-    row = F.max_by(F.struct("files", "errors", "rate"), "batch_id").alias("row")
-    return stored.groupBy("window_start", "drive").agg(row).select(
-        "window_start", "drive", "row.*"
-    )
+    """The counts per drive and window of all batches of a ``stream_scan_rate`` so far."""
+    stored = spark.read.parquet(f"{root}/rates").groupBy("window_start", "seconds", "drive")
+    return _with_rate(stored.agg(F.sum("files").alias("files"), F.sum("errors").alias("errors")))

@@ -116,3 +116,8 @@ def test_depth_limit_keeps_files_at_the_limit(spark):
     df = spark.createDataFrame([("f",), ("a\\f",), ("a\\b\\f",), ("a\\b\\c\\f",)], "relative string")
     assert filters.max_depth(df, 2).count() == 3
     assert filters.max_depth(df, 0).count() == filters.max_depth(df, None).count() == 4
+
+
+def test_large_sizes_are_exact(spark):
+    df = spark.createDataFrame([(9007199254740992,), (9007199254740993,)], "size bigint")
+    assert [r["size"] for r in search_size(df, "=9007199254740993").collect()] == [9007199254740993]

@@ -196,3 +196,24 @@ def test_fixture_counts(spark, sf_dir):
     assert {r[0]: r[1] for r in verified.groupBy("confidence").count().collect()} == {1.0: 22, 0.9: 3}
     copies = stats.duplicate_files(curr)
     assert copies.select("content_hash").distinct().count() == 13
+
+
+def _snapshot(spark, rows):
+    return spark.createDataFrame(rows, "path string, size bigint, mtime bigint, content_hash string")
+
+
+def test_verified_moves_look_for_equal_hashes_first(spark):
+    prev = _snapshot(spark, [("A\\f", 1, 1, "h1"), ("B\\f", 1, 1, "h2"), ("A\\g", 1, 1, "g1"), ("B\\g", 1, 1, None)])
+    curr = _snapshot(spark, [("C\\f", 1, 1, "h2"), ("C\\g", 1, 1, "g2"), ("D\\g", 1, 1, None), ("D\\f", 1, 1, "h9")])
+    found = {(r.old_path, r.new_path): r.confidence for r in ops.moves_verified(prev, curr).collect()}
+    assert found == {("B\\f", "C\\f"): 1.0, ("B\\g", "C\\g"): 0.9, ("A\\g", "D\\g"): 0.9}
+    changes = {r.path: r.change_type for r in ops.find_changes(prev, curr, verify=True).collect()}
+    assert changes == {"C\\f": "moved", "C\\g": "moved", "D\\g": "moved", "D\\f": "new", "A\\f": "deleted"}
+
+
+def test_a_value_that_appears_is_a_change(spark):
+    prev = _snapshot(spark, [("a", None, 1, None), ("b", 1, None, None), ("c", None, None, None)])
+    curr = _snapshot(spark, [("a", 5, 1, None), ("b", 1, None, None), ("c", None, None, None)])
+    assert [r.path for r in ops.modified_files(prev, curr).collect()] == ["a"]
+    assert [(r.path, r.change_type) for r in ops.snapshot_diff(prev, curr).collect()] == [("a", "modified")]
+    assert [r.path for r in ops.changed_rows(prev, curr).collect()] == ["a"]

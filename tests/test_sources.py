@@ -7,12 +7,14 @@ import io
 import os
 import tarfile
 import zipfile
+from pathlib import Path
 
 import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
-from pathledger.functions.paths import path_depth
+from pathledger.functions import content
+from pathledger.functions.paths import is_archive_scan, path_depth
 from pathledger.operators import archives, filters
 from pathledger.plans import fixtures as fx
 from pathledger.schema import FILES
@@ -285,9 +287,43 @@ def test_members_from_content(spark, shelf):
     check_members(archive_members(files, size="length", content="content"))
 
 
-def test_archives_above_the_limit_are_left_closed(spark, shelf):
-    files = scan.scan_files(spark, str(shelf)).withColumn("size", F.lit(5 * 1024**3 + 1))
-    assert archive_members(files).count() == 0
+def test_archives_of_any_size_are_opened_or_reported(spark, shelf):
+    listed = scan.scan_files(spark, str(shelf))
+    whole = archive_members(listed).count()
+    for size in (F.lit(5 * 1024**3 + 1), F.lit(None).cast("bigint")):
+        assert archive_members(listed.withColumn("size", size)).count() == whole
+    large = listed.withColumn("size", F.lit(5 * 1024**3 + 1))
+    found = archive_members(large, limit=5 * 1024**3).collect()
+    archives = large.filter(is_archive_scan("path")).count()
+    assert len(found) == archives and {r["error"] for r in found} == {"skipped: size"}
+
+
+def test_contents_that_differ_in_the_middle_differ(spark, tmp_path):
+    block = 1024 * 1024
+    for name, middle in (("a.dat", b"x"), ("b.dat", b"y")):
+        (tmp_path / name).write_bytes(b"0" * block + middle * block + b"1" * block)
+    walked = scan.walk_files(spark, str(tmp_path))
+    rows = scan.files_from_scan(walked).collect()
+    assert len({r["content_hash"] for r in rows}) == 2
+    assert all(r["content_hash"] == hashlib.md5(Path(r["path"]).read_bytes()).hexdigest() for r in rows)
+    assert {r["content_hash"] for r in scan.files_from_scan(walked, hash_limit=block).collect()} == {None}
+    # The sampled fingerprint goes by its own name.
+    assert walked.select(content.smart_hash_at("path", "size")).distinct().count() == 1
+
+
+def test_a_root_given_twice_or_below_another_is_walked_once(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "f.txt").write_text("f")
+    found = scan.walk_files(spark, str(tmp_path), f"{tmp_path}/", str(tmp_path / "d"))
+    assert [r["path"] for r in found.collect()] == [str(tmp_path / "d" / "f.txt")]
+
+
+def test_drive_names_stay_text_and_missing_drives_stay(spark, tmp_path):
+    columns = "path string, drive string"
+    files = spark.createDataFrame([("a", "01"), ("b", "02"), ("c", None), ("d", "")], columns)
+    catalog.write_catalog(files, f"{tmp_path}/c")
+    found = {r["path"]: r["drive"] for r in catalog.read_catalog(spark, f"{tmp_path}/c").collect()}
+    assert found == {"a": "01", "b": "02", "c": None}
 
 
 def test_many_members_cross_batches(spark, tmp_path):
@@ -339,7 +375,7 @@ def test_stats_files(spark, sf_dir, tmp_path):
     target = str(tmp_path / "stats")
     catalog.write_stats_json(stats.total_stats(fx.files(spark, sf_dir)), target)
     rows = {r["drive"]: r["files"] for r in spark.read.json(target).collect()}
-    assert rows["ALL"] == 200 and len(rows) == 5
+    assert rows["ALL"] == 205 and len(rows) == 5
 
 
 def test_depth_of_a_walk_equals_the_depth_filter(spark, tree):

@@ -146,3 +146,19 @@ def test_totals_equal_the_sum_of_the_drives(spark):
     total = rows.pop("ALL")
     assert set(rows) == {"C:", "D:"}
     assert total == tuple(map(sum, zip(*rows.values())))
+
+
+def test_a_missing_group_is_a_group(spark):
+    files = spark.createDataFrame([("a", "C:"), ("b", None), ("c", None), ("d", "D:")], "path string, drive string")
+    found = {r["path"]: r["batch"] for r in ordering.checkpoint_batches(files, rows=1).collect()}
+    assert found == {"a": 0, "b": 0, "c": 1, "d": 0}
+    totals = spread.running_totals(files, ["path"], {"n": F.lit(1)}, ["drive"])
+    assert {r["path"]: r["n"] for r in totals.collect()} == {"a": 1, "b": 1, "c": 2, "d": 1}
+
+
+def test_equal_versions_are_decided_by_the_columns(spark):
+    rows = [("a", 1, 5), ("a", 1, 7), ("a", 0, 9)]
+    df = spark.createDataFrame(rows, "path string, snapshot_id int, size int")
+    for order in (df, df.orderBy("size"), df.orderBy(F.desc("size"))):
+        assert [r["size"] for r in ordering.latest_version(order).collect()] == [7]
+    assert [r["size"] for r in ordering.latest_version(df.withColumn("t", -F.col("size")), tie=["t"]).collect()] == [5]

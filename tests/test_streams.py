@@ -126,6 +126,28 @@ def test_listing_read_by_a_function(spark, tmp_path):
     assert table(monitor.changes(spark, root), "path", "change_type") == [("C:\\x\\a.txt", "modified")]
 
 
+def test_listings_out_of_order_change_nothing(spark, pair, tmp_path):
+    root, (prev, curr) = str(tmp_path), (fx.as_catalog(s) for s in pair)
+    prev, curr = prev, curr
+    monitor.process_poll(spark, root, 0, 1, prev)
+    monitor.process_poll(spark, root, 1, 3, curr)
+    monitor.process_poll(spark, root, 2, 2, prev)
+    monitor.process_poll(spark, root, 3, 3, prev)
+    assert table(monitor.current_catalog(spark, root), *FILE_COLUMNS) == table(curr, *FILE_COLUMNS)
+    assert monitor.changes(spark, root).filter("batch_id > 1").count() == 0
+    stale = monitor.polls(spark, root).filter("new IS NULL").collect()
+    assert sorted(r["batch_id"] for r in stale) == [2, 3] and {r["completed"] for r in stale} == {2}
+
+
+def test_a_listing_that_repeats_a_path(spark, pair, tmp_path):
+    root, prev = str(tmp_path), fx.as_catalog(pair[0])
+    twice = prev.unionByName(prev.withColumn("mtime", F.col("mtime") - 5))
+    monitor.process_poll(spark, root, 5, 1, twice)
+    monitor.process_poll(spark, root, 6, 2, twice)
+    assert monitor.changes(spark, root).count() == 0
+    assert table(monitor.current_catalog(spark, root), *FILE_COLUMNS) == table(prev, *FILE_COLUMNS)
+
+
 def scans(spark, rows):
     df = spark.createDataFrame(rows, "at long, drive string, error string")
     return df.select(F.timestamp_seconds("at").alias("scanned_at"), "drive", "error")
@@ -138,18 +160,21 @@ def test_live_rates_over_several_batches(spark, tmp_path):
     for part in (first, second):
         scans(spark, part).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(scans(spark, first).schema).parquet(source)
-        rates.stream_scan_rate(stream, root, late="2 hours").awaitTermination()
+        rates.stream_scan_rate(stream, root).awaitTermination()
     found = table(rates.live_rates(spark, root), "window_start", "drive", "files", "errors")
     assert found == [(0, "C:", 3, 1), (3600, "D:", 1, 0), (7200, "D:", 1, 0)]
     batch = rates.windowed_counts(scans(spark, first + second))
     assert table(batch, "window_start", "drive", "files", "errors") == found
 
 
-def test_rows_past_the_watermark_are_late(spark, tmp_path):
+def test_late_files_count(spark, tmp_path):
+    """One file per batch, in an order against time: nothing is lost."""
     source, root = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in ([(100_000, "C:", None)], [(200_000, "C:", None)], [(10, "C:", None)]):
+    parts = [[(100_000, "C:", None)], [(200_000, "C:", "x")], [(10, "C:", None)], [(100_001, None, None)]]
+    for part in parts:
         scans(spark, part).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(scans(spark, part).schema).parquet(source)
+        stream = spark.readStream.schema(scans(spark, part).schema).option("maxFilesPerTrigger", 1).parquet(source)
         rates.stream_scan_rate(stream, root).awaitTermination()
-    starts = [r["window_start"] for r in rates.live_rates(spark, root).collect()]
-    assert sorted(starts) == [97_200, 198_000]
+    columns = "window_start", "drive", "files", "errors"
+    batch = rates.windowed_counts(scans(spark, [row for part in parts for row in part]))
+    assert table(rates.live_rates(spark, root), *columns) == table(batch, *columns)
