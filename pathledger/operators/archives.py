@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from pathledger.operators.ordering import latest_version
 from pathledger.operators.spread import lookup
 
 MEMBER = ["internal_path", "compressed_size", "uncompressed_size", "modified", "file_type"]
@@ -40,6 +41,10 @@ def archive_totals(nested: DataFrame) -> DataFrame:
 
 
 def archive_file_members(files: DataFrame, members: DataFrame) -> DataFrame:
-    """Members with the catalog row of their archive; one archive may hold most members."""
-    archive = files.withColumnRenamed("path", "archive_path")
+    """Members with the catalog row of their archive; one archive may hold most members.
+
+    Of a path that the catalog repeats, the latest row counts.
+    """
+    version = "mtime" if "mtime" in files.columns else "path"
+    archive = latest_version(files, version).withColumnRenamed("path", "archive_path")
     return lookup(members, archive, ["archive_path"])

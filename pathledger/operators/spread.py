@@ -30,13 +30,16 @@ def hot_keys(df: DataFrame, keys, hot_rows=None) -> DataFrame:
 
 
 def lookup(left, right, keys, how="inner", hot_rows=None, left_rows=None) -> DataFrame:
-    """Join ``right``, which has one row per key, to ``left``, where a key may be hot.
+    """Join one row per key of ``right`` to ``left``, where a key may be hot.
 
     Rows of the hot keys stay where they are and meet a broadcast of their few right rows; all
-    other rows meet the right side in a shuffle, where no key is large. Both ways give all rows.
+    other rows meet the right side in a shuffle, where adaptive execution cuts what is left of
+    skew on the left side. Both ways give all rows. The right side is reduced to one row per key
+    first, which bounds the broadcast; where it comes from an aggregate that costs no shuffle.
     The keys must not be NULL in a left outer join. ``left_rows``, an upper bound of the rows of
     ``left`` if the caller knows one, saves the search for hot keys when it is small.
     """
+    right = right.dropDuplicates(keys)
     if left_rows is not None and left_rows < (HOT_ROWS if hot_rows is None else hot_rows):
         return left.join(right, keys, how)
     # At most HOT_KEYS rows each: the hot keys, and their rows of ``right``.
