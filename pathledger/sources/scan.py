@@ -75,27 +75,36 @@ def _list_directories(batches):
 _ARROW_TYPES = {"size": "Int64", "mtime_ns": "Int64", "ctime_ns": "Int64"}
 
 
-def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidden=False):
+def _complete(spark, location):
+    """Whether Spark finished writing the table at ``location``."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidden=False, store=None):
     """Scan results of file trees that every executor has mounted.
 
     One Spark job per directory level: tasks list the directories of the level, and the stored
     listing gives the directories of the next. Entries that cannot be read keep an ``error``.
     ``depth`` limits the levels below a root, ``skip_names`` and ``skip_hidden`` (names starting
-    with ``$`` or ``.``) leave whole directories out.
+    with ``$`` or ``.``) leave whole directories out. With ``store``, a folder in shared storage, a
+    scan that broke off goes on after the last level it finished, given the same arguments.
     """
     # A directory below another root is listed once, with that one.
     roots = sorted({root.rstrip("/") or "/" for root in roots})
     roots = [r for r in roots if not any(r != o and f"{r}/".startswith(o.rstrip("/") + "/") for o in roots)]
-    store = fresh_folder(spark, "walk")
+    store = store or fresh_folder(spark, "walk")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = 0
     frontier = spark.createDataFrame([(root,) for root in roots], "path string")
     waiting = len(roots)
     while waiting:
         target = f"{store}/level={level}"
-        # Directories are few bytes but much work each: spread them by count.
-        spread = frontier.repartition(min(width, waiting), "path")
-        spread.mapInPandas(_list_directories, _LISTED).write.parquet(target)
+        if not _complete(spark, target):
+            # Directories are few bytes but much work each: spread them by count.
+            spread = frontier.repartition(min(width, waiting), "path")
+            listed = spread.mapInPandas(_list_directories, _LISTED)
+            listed.write.mode("overwrite").parquet(target)
         if depth and level >= depth:
             break
         inner = spark.read.schema(_LISTED).parquet(target)

@@ -318,6 +318,20 @@ def test_a_root_given_twice_or_below_another_is_walked_once(spark, tmp_path):
     assert [r["path"] for r in found.collect()] == [str(tmp_path / "d" / "f.txt")]
 
 
+def test_a_broken_scan_goes_on(spark, tmp_path, monkeypatch):
+    deep = tmp_path / "tree" / "a" / "b" / "c"
+    deep.mkdir(parents=True)
+    for folder in (deep, deep.parent, deep.parent.parent):
+        (folder / "f.txt").write_text("f")
+    store, root = str(tmp_path / "store"), str(tmp_path / "tree")
+    whole = sorted(r["path"] for r in scan.walk_files(spark, root).collect())
+    scan.walk_files(spark, root, depth=1, store=store)
+    (tmp_path / "tree" / "late.txt").write_text("not seen: its level is done")
+    monkeypatch.setattr(scan, "fresh_folder", None)
+    found = scan.walk_files(spark, root, store=store)
+    assert sorted(r["path"] for r in found.collect()) == whole
+
+
 def test_drive_names_stay_text_and_missing_drives_stay(spark, tmp_path):
     columns = "path string, drive string"
     files = spark.createDataFrame([("a", "01"), ("b", "02"), ("c", None), ("d", "")], columns)
