@@ -34,11 +34,12 @@ def gram_counts(texts):
             found = texts_of(batch.column(0))
             for first, last in chunks(found):
                 total += np.bincount(_buckets(found[first:last])[0], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)], ["bucket", "n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
     sums = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     # A fixed number of rows, BUCKETS.
-    sums = sums.filter("n > 0").toPandas()
+    sums = sums.toPandas()
     out = np.zeros(BUCKETS, np.int64)
     out[sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(int)
     return out
