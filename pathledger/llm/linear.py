@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # Feature 0 is always on and never shrunk: the intercept.
 INTERCEPT = 0
+_LEARNERS = -1
 
 
 def sigmoid(x):
@@ -58,16 +59,19 @@ def fit(rows: DataFrame, dims, shards=4, epochs=3, **settings):
             known = np.flatnonzero(model.n)
             w = model.weights(known)
             found = w != 0
-            columns = [pa.array(known[found].astype(np.int32)), pa.array(w[found])]
+            # The last row counts the learners.
+            columns = [pa.array(np.append(known[found], _LEARNERS).astype(np.int32)), pa.array(np.append(w[found], 1.0))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "weight"])
 
     key = F.xxhash64("ids", "label")
-    dealt = rows.withColumn("key", key).repartition(shards, "key")
-    dealt = dealt.sortWithinPartitions("key").drop("key")
+    dealt = rows.withColumn("key", key).withColumn("shard", F.pmod("key", F.lit(shards)))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("key").drop("key", "shard")
     trained = dealt.mapInArrow(train, "id int, weight double")
     # At most dims rows, a fixed number.
-    mean = trained.groupBy("id").agg((F.sum("weight") / shards).alias("weight")).orderBy("id").toPandas()
-    return mean["id"].to_numpy(np.int64), mean["weight"].to_numpy(np.float64)
+    sums = trained.groupBy("id").agg(F.sum("weight").alias("weight")).orderBy("id").toPandas()
+    learners = sums.loc[sums["id"] == _LEARNERS, "weight"].sum() or 1.0
+    sums = sums[sums["id"] != _LEARNERS]
+    return sums["id"].to_numpy(np.int64), sums["weight"].to_numpy(np.float64) / learners
 
 
 class Weights:
