@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathledger.functions.paths import base_name
 from pathledger.sources.catalog import read_catalog
+from pathledger.streaming.monitor import current_catalog
 
 # Binary multiples of the size units.
 UNITS = {"": 1, "B": 1, "KB": 1024, "MB": 1024**2, "GB": 1024**3, "TB": 1024**4}
@@ -99,11 +100,14 @@ def search(df: DataFrame, name=None, modified=None, size=None, as_of=None, ignor
     return df.orderBy("path")
 
 
-def search_files(name=None, modified=None, size=None, *, catalog=None, spark=None, **options):
+def search_files(name=None, modified=None, size=None, *, catalog=None, live=None, spark=None, **options):
     """``search`` over a stored catalog: ``search_files("*.py")``, ``search_files(size=">100MB")``.
 
     ``catalog`` is its location, by default the session setting ``spark.pathledger.catalog``.
+    ``live``, the folder of a ``streaming.monitor``, searches what the last completed poll left.
     """
     spark = spark or SparkSession.active()
+    if live is not None:
+        return search(current_catalog(spark, live), name, modified, size, **options)
     catalog = catalog or spark.conf.get("spark.pathledger.catalog")
     return search(read_catalog(spark, catalog), name, modified, size, **options)

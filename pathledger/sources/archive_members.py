@@ -121,3 +121,17 @@ def archive_members(archives: DataFrame, path="path", size="size", content=None,
     error = F.lit("skipped: size").alias("error")
     left_out = found.filter(skipped).select(F.col(path).alias("archive_path"), *empty, error)
     return members.unionByName(left_out)
+
+
+def refresh_members(members: DataFrame, changes: DataFrame, curr: DataFrame, limit=None) -> DataFrame:
+    """The members of all archives after a change set of ``find_changes``.
+
+    Members of deleted, modified and moved archives leave; archives at new, modified and moved-to
+    paths of the current snapshot are listed again. All other archives stay unopened.
+    """
+    kind = F.col("change_type")
+    stale = F.explode(F.array_compact(F.array(F.when(kind != "moved", F.col("path")), F.col("old_path"))))
+    kept = members.join(changes.select(stale.alias("archive_path")).distinct(), "archive_path", "left_anti")
+    entered = changes.filter(kind != "deleted").select("path")
+    listed = archive_members(curr.join(entered, "path", "left_semi"), limit=limit)
+    return kept.unionByName(listed)

@@ -17,9 +17,9 @@ from pathledger.functions import content
 from pathledger.functions.paths import is_archive_scan, path_depth
 from pathledger.operators import archives, filters
 from pathledger.plans import fixtures as fx
-from pathledger.schema import FILES
+from pathledger.schema import ARCHIVE_MEMBERS, FILES
 from pathledger.sources import catalog, checkpoints, listing, scan
-from pathledger.sources.archive_members import archive_members
+from pathledger.sources.archive_members import archive_members, refresh_members
 from pathledger.sources.remote import _Handle
 
 HEADER = b"Name,Path,Size,Date Modified,Date Created,Attributes\r\n"
@@ -318,6 +318,34 @@ def test_a_root_given_twice_or_below_another_is_walked_once(spark, tmp_path):
     assert [r["path"] for r in found.collect()] == [str(tmp_path / "d" / "f.txt")]
 
 
+def test_members_follow_the_changes(spark, tmp_path):
+    from pathledger.operators.snapshots import find_changes
+
+    def pack(name, *members):
+        with zipfile.ZipFile(tmp_path / name, "w") as archive:
+            for member in members:
+                archive.writestr(member, member)
+
+    def snapshot(rows):
+        rows = [(str(tmp_path / name), size, 1, None) for name, size in rows]
+        return spark.createDataFrame(rows, "path string, size bigint, mtime bigint, content_hash string")
+
+    (tmp_path / "to").mkdir()
+    for name in ("same.zip", "changed.zip", "gone.zip", "moved.zip"):
+        pack(name, f"old-{name}")
+    prev = snapshot([("same.zip", 1), ("changed.zip", 2), ("gone.zip", 3), ("moved.zip", 4), ("x.txt", 5)])
+    members = spark.createDataFrame(archive_members(prev).collect(), ARCHIVE_MEMBERS)
+    pack("same.zip", "not looked at")
+    pack("changed.zip", "a", "b")
+    pack("new.zip", "n")
+    os.replace(tmp_path / "moved.zip", tmp_path / "to" / "moved.zip")
+    curr = snapshot([("same.zip", 1), ("changed.zip", 9), ("new.zip", 7), ("to/moved.zip", 4), ("x.txt", 6)])
+    found = refresh_members(members, find_changes(prev, curr), curr)
+    assert sorted((os.path.relpath(r["archive_path"], tmp_path), r["internal_path"]) for r in found.collect()) == [
+        ("changed.zip", "a"), ("changed.zip", "b"), ("new.zip", "n"), ("same.zip", "old-same.zip"), ("to/moved.zip", "old-moved.zip"),
+    ]
+
+
 def test_a_broken_scan_goes_on(spark, tmp_path, monkeypatch):
     deep = tmp_path / "tree" / "a" / "b" / "c"
     deep.mkdir(parents=True)

@@ -139,6 +139,16 @@ def test_listings_out_of_order_change_nothing(spark, pair, tmp_path):
     assert sorted(r["batch_id"] for r in stale) == [2, 3] and {r["completed"] for r in stale} == {2}
 
 
+def test_search_over_the_live_catalog(spark, pair, tmp_path):
+    from pathledger import search_files
+
+    root, (prev, curr) = str(tmp_path), map(fx.as_catalog, pair)
+    monitor.process_poll(spark, root, 0, 1, prev)
+    monitor.process_poll(spark, root, 1, 2, curr)
+    found = search_files("*.py", live=root, spark=spark)
+    assert [r["path"] for r in found.collect()] == sorted(r["path"] for r in curr.collect() if r["path"].endswith(".py"))
+
+
 def test_a_listing_that_repeats_a_path(spark, pair, tmp_path):
     root, prev = str(tmp_path), fx.as_catalog(pair[0])
     twice = prev.unionByName(prev.withColumn("mtime", F.col("mtime") - 5))
