@@ -6,13 +6,16 @@ Environment: BENCH_SF_DIR (tables), BENCH_CPUS (local cores), BENCH_ROWS (enlarg
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import functions as F
 
+from pathledger import search_files
 from pathledger.operators import snapshots, stats
 from pathledger.plans import QUERIES
 from pathledger.session import build_session, fresh_folder
+from pathledger.sources import catalog, scan
 
 HEADLINE = [
     "read_listing_csv", "read_checkpoint_text", "write_catalog", "archive_members", "archives_nested",
@@ -57,6 +60,17 @@ def enlarged(spark, rows, later):
     return spark.read.parquet(location)
 
 
+def tree(files=20_000, folders=200):
+    """A folder of small files on the local disk."""
+    root = tempfile.mkdtemp(prefix="run-bench-")
+    for k in range(folders):
+        os.mkdir(f"{root}/d{k}")
+    for k in range(files):
+        with open(f"{root}/d{k % folders}/f{k}.txt", "w") as file:
+            file.write(str(k) * 20)
+    return root, files
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -87,6 +101,17 @@ def main():
         timings[name] = seconds(build)
         print(f"{name:28s} {timings[name]:8.3f}", file=sys.stderr, flush=True)
 
+    shelf = fresh_folder(spark, "bench-catalog")
+    catalog.write_catalog(curr.selectExpr("*", "substr(path, 1, 2) AS drive"), shelf)
+    root, files = tree()
+    published = {
+        "search_stored_catalog": lambda: search_files("f1234567", catalog=shelf, spark=spark),
+        "scan_tree": lambda: scan.files_from_scan(scan.walk_files(spark, root), "N:"),
+    }
+    for name, build in published.items():
+        timings[name] = seconds(build)
+        print(f"{name:28s} {timings[name]:8.3f}", file=sys.stderr, flush=True)
+
     total = round(sum(timings.values()), 3)
     rate = round(2 * rows / timings["large_find_changes"])
     print(
@@ -99,6 +124,7 @@ def main():
                 "sf": os.path.basename(sf_dir).removeprefix("sf"),
                 "catalog_rows": rows,
                 "catalog_rows_diffed_per_sec": rate,
+                "scanned_files_per_sec": round(files / timings["scan_tree"]),
             }
         )
     )
