@@ -101,7 +101,7 @@ def _of(diff, change_type):
     return diff.filter(F.col("change_type") == change_type)
 
 
-def _matched_new(diff: DataFrame, how, rows, verify=False) -> DataFrame:
+def _matched_new(diff: DataFrame, how, rows, verify=False, hot_rows=None) -> DataFrame:
     """New rows with the smallest deleted path of equal name and size, and both hashes.
 
     With ``verify``, a path of equal hash comes first; then, where one of the hashes is missing,
@@ -114,13 +114,13 @@ def _matched_new(diff: DataFrame, how, rows, verify=False) -> DataFrame:
     plain = deleted.groupBy("size", "name").agg(
         old.alias("old"), *([unhashed.alias("unhashed")] if verify else [])
     )
-    matched = lookup(_of(diff, NEW), plain, ["size", "name"], how, left_rows=rows)
+    matched = lookup(_of(diff, NEW), plain, ["size", "name"], how, hot_rows, rows)
     if verify:
         # A key that no hash has stands for a missing one.
         hashed = deleted.withColumn("hash_key", F.col("content_hash")).filter("hash_key IS NOT NULL")
         equal = hashed.groupBy("size", "name", "hash_key").agg(old.alias("equal"))
         keyed = matched.withColumn("hash_key", F.coalesce("content_hash", F.lit("")))
-        matched = lookup(keyed, equal, ["size", "name", "hash_key"], "left_outer", left_rows=rows)
+        matched = lookup(keyed, equal, ["size", "name", "hash_key"], "left_outer", hot_rows, rows)
         other = F.when(F.col("content_hash").isNull(), F.col("old")).otherwise(F.col("unhashed"))
         matched = matched.withColumn("old", F.coalesce("equal", other))
         if how == "inner":
@@ -134,14 +134,15 @@ def _matched_new(diff: DataFrame, how, rows, verify=False) -> DataFrame:
     )
 
 
-def moves_from_diff(diff: DataFrame, rows=None, verify=False) -> DataFrame:
+def moves_from_diff(diff: DataFrame, rows=None, verify=False, hot_rows=None) -> DataFrame:
     """Moves among the rows of a ``snapshot_diff``, by equal name and size.
 
     A new path gets at most one old path, the smallest; one old path may serve several new paths.
     Empty files match as well. ``rows`` is the number of rows of ``diff``, if known. ``verify``
-    looks for equal hashes first, see ``_matched_new``.
+    looks for equal hashes first, see ``_matched_new``. Names and sizes of ``hot_rows`` new paths
+    or more are matched apart, see ``spread.lookup``.
     """
-    return _matched_new(diff, "inner", rows, verify).select(
+    return _matched_new(diff, "inner", rows, verify, hot_rows).select(
         "old_path",
         "new_path",
         "size",
@@ -152,10 +153,10 @@ def moves_from_diff(diff: DataFrame, rows=None, verify=False) -> DataFrame:
     )
 
 
-def moves_name_size(prev: DataFrame, curr: DataFrame) -> DataFrame:
+def moves_name_size(prev: DataFrame, curr: DataFrame, hot_rows=None) -> DataFrame:
     """Moves between two snapshots by equal name and size, see ``moves_from_diff``."""
     diff, rows = stored_diff(prev, curr, hashes=False)
-    return moves_from_diff(diff, rows).drop("old_hash", "new_hash")
+    return moves_from_diff(diff, rows, hot_rows=hot_rows).drop("old_hash", "new_hash")
 
 
 def _confidence():

@@ -70,13 +70,14 @@ def scan_summary(results: DataFrame, at="scanned_at") -> DataFrame:
     )
 
 
-def duplicate_files(files: DataFrame) -> DataFrame:
+def duplicate_files(files: DataFrame, hot_rows=None) -> DataFrame:
     """Every path whose content occurs more than once, with the number of copies.
 
-    Rows, not lists: a content that fills a third of the catalog fits no single cell.
+    Rows, not lists: a content that fills a third of the catalog fits no single cell. Contents of
+    ``hot_rows`` files or more are counted apart, see ``spread.lookup``.
     """
     hashed = files.filter(F.col("content_hash").isNotNull()).select("content_hash", "path")
-    return group_sizes(hashed, "content_hash", "copies", at_least=2)
+    return group_sizes(hashed, "content_hash", "copies", at_least=2, hot_rows=hot_rows)
 
 
 def paths_by_size(files: DataFrame) -> DataFrame:
