@@ -100,26 +100,33 @@ def _hashed_block(block, breaks, codes):
     inside[1:-1] = ~breaks[buf]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[::2], edges[1::2]
-    return starts, span_hashes(prefix_sums(codes[buf]), starts, ends)
+    return starts, ends, span_hashes(prefix_sums(codes[buf]), starts, ends)
 
 
-def word_hashes(texts, breaks=BREAK, fold=True):
-    """Hashes of all words of the texts in order, and the number of words of each text."""
+def located_words(texts, breaks=BREAK, fold=True):
+    """Hashes of all words with the text's number and the span in its bytes, in parts of bounded size."""
     codes = _CODES_FOLDED if fold else _CODES
-    hashes, counts = [], np.zeros(len(texts), np.int64)
     for first, last in chunks(texts):
         part = texts[first:last]
         if last - first == 1 and len(part[0]) > CHUNK_BYTES:
+            at = 0
             for piece in _cut(part[0]):
-                found = _hashed_block(piece, breaks, codes)[1]
-                counts[first] += len(found)
-                hashes.append(found)
+                starts, ends, hashes = _hashed_block(piece, breaks, codes)
+                yield hashes, np.full(len(starts), first), starts + at, ends + at
+                at += len(piece)
             continue
-        starts, found = _hashed_block(b" ".join(part), breaks, codes)
+        starts, ends, hashes = _hashed_block(b" ".join(part), breaks, codes)
         begins = np.cumsum([0] + [len(x) + 1 for x in part[:-1]])
         owner = np.searchsorted(begins, starts, side="right") - 1
-        counts[first:last] = np.bincount(owner, minlength=last - first)
+        yield hashes, owner + first, starts - begins[owner], ends - begins[owner]
+
+
+def word_hashes(texts, breaks=BREAK, fold=True):
+    """Hashes of all words of the texts in order, and the number of words of each text."""
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    for found, owner, _, _ in located_words(texts, breaks, fold):
         hashes.append(found)
+        counts += np.bincount(owner, minlength=len(texts))
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
 
 
