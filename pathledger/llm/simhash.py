@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing."""
+"""Near duplicates: SimHash by covering locality-sensitive hashing, and copies by verified shingle similarity."""
 
 import functools
 import random
@@ -16,6 +16,11 @@ BITS = 64
 # Distinct fingerprints of one bucket that are compared in memory; larger buckets are refined.
 BUCKET = 2048
 _STRIPE = 1 << 16
+# MinHash bands (minima in a band, bands): a pair of similarity 0.8 shares none with a chance of
+# 3e-6, and of 2e-5 in the second ones, into which large buckets are dealt.
+LEVELS = ((5, 32), (10, 96))
+# Rows of a bucket whose pairs are compared without dealing it anew.
+BUCKET_PAIRS = 32
 
 
 def _spread_vectors(bits, n):
@@ -101,41 +106,6 @@ def fingerprints(docs: DataFrame, text="text", size=4) -> DataFrame:
     return packed.withColumn("fp", fingerprint(F.col(f"doc.{text}")))
 
 
-def word_sketch(text, min_word=6, size=5):
-    """A fingerprint of the distinct longer words, and 128 bits from distinct shingles of words.
-
-    The first is what the tables are made of: an edited word changes one of its features but
-    ``size`` shingles, so copies of 0.8 similarity stay within a small radius. The second estimates
-    the similarity of the shingle sets.
-    """
-    text = text.lower()
-    words = set(text.split())
-    chosen = {w for w in words if len(w) >= min_word} or words
-    digest = xxhash.xxh64_intdigest
-    fp = majority_bits(np.array([digest(w, 7) for w in chosen], np.uint64))[0]
-    joined, starts, ends = shingle_spans(text, size)
-    whole = {joined[a:b] for a, b in zip(starts, ends, strict=True)}
-    wide = xxhash.xxh3_128_digest
-    pairs = np.frombuffer(b"".join(wide(x, 7) for x in whole), np.uint64)
-    return fp, *majority_bits(pairs, 2)
-
-
-def sketches(docs: DataFrame, text="text") -> DataFrame:
-    """``docs`` packed as column ``doc``, with ``fp`` and the shingle sketch ``s0``, ``s1``."""
-    small_batches(docs.sparkSession)
-    kind = T.StructType([T.StructField(c, T.LongType()) for c in ("fp", "s0", "s1")])
-
-    @F.arrow_udf(kind)
-    def sketch(texts: pa.Array) -> pa.Array:
-        rows = [[_signed(x) for x in word_sketch(t)] for t in texts_of(texts)]
-        columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))]
-        return pa.StructArray.from_arrays(columns, ["fp", "s0", "s1"])
-
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    packed = packed.withColumn("sketch", sketch(F.col(f"doc.{text}")))
-    return packed.select("doc", "sketch.fp", "sketch.s0", "sketch.s1")
-
-
 def _near(values, i, j, radius, sketch_radius):
     near = np.bitwise_count(values[0][i] ^ values[0][j]) <= radius
     if sketch_radius is not None:
@@ -337,27 +307,164 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", radius=4, buc
     return joined.select("doc_id", fingerprint, "component_id")
 
 
+def shingle_set(text, size=5):
+    """The distinct hashes of the shingles of ``size`` lower-cased words, sorted."""
+    joined, starts, ends = shingle_spans(text.lower(), size)
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 7) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+@functools.cache
+def _factors(count):
+    return np.random.default_rng(count).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(shingles, rows, bands):
+    """A key per band of ``rows`` MinHash minima: sets of similarity j agree in a band with chance j ** rows."""
+    if not len(shingles):
+        return []
+    factors = _factors(rows * bands)
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    stripe = max(1, (1 << 18) // len(factors))
+    for at in range(0, len(shingles), stripe):
+        np.minimum(least, (shingles[at : at + stripe, None] * factors).min(0), out=least)
+    parts = least.reshape(bands, rows)
+    return [_signed(xxhash.xxh3_64_intdigest(part.tobytes(), rows * 1000 + i)) for i, part in enumerate(parts)]
+
+
+def _banded(level):
+    kind = T.StructType([T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    @F.arrow_udf(kind)
+    def banded(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t) for t in texts_of(texts)]
+        nodes = pa.array([_signed(xxhash.xxh3_64_intdigest(x.tobytes())) for x in sets], pa.int64())
+        bands = pa.array([band_keys(x, *level) for x in sets], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([nodes, bands], ["node", "bands"])
+
+    return banded
+
+
+def _similar(pairs, sets, similarity):
+    """The pairs of nodes (a, b) whose shingle sets have at least that Jaccard similarity."""
+
+    @F.arrow_udf(T.BooleanType())
+    def similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(xs)):
+            x, y = xs[i].values.to_numpy(zero_copy_only=False), ys[i].values.to_numpy(zero_copy_only=False)
+            both = np.sort(np.concatenate((x, y)))
+            shared = int((both[1:] == both[:-1]).sum())
+            out.append(shared >= similarity * (len(both) - shared))
+        return pa.array(out, pa.bool_())
+
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    joined = joined.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    # Sets of too different sizes need no look.
+    x, y = F.size("x"), F.size("y")
+    joined = joined.filter(F.least(x, y) >= F.lit(similarity) * F.greatest(x, y))
+    return joined.filter(similar("x", "y")).select("a", "b")
+
+
+def _labelled(cells, links):
+    """``cells`` (key, node) with the ``root`` of the node, and the links reduced to their forest."""
+    joined = components(links)
+    return cells.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), joined
+
+
+def _mixed(cells):
+    """(key, n) of the buckets that still hold more than one component."""
+    sides = cells.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    return sides.filter("low <> high").select("key", "n")
+
+
+def similar_classes(cells: DataFrame, sets: DataFrame, similarity=0.8, bucket_rows=BUCKET_PAIRS) -> DataFrame:
+    """(node, root) of all nodes that verified links connect.
+
+    ``cells`` holds the band keys of each node, ``sets`` (node, set) the sorted shingle hashes; both
+    are stored tables. Two nodes link if they share a bucket and their sets have the similarity; no
+    link rests on an estimate. First each bucket compares its rows with one of them, another one in
+    each band, which connects large groups by as many comparisons as there are rows. In buckets
+    that then still hold several components all pairs of different components are compared. Those
+    of more than ``bucket_rows`` rows are first dealt anew by bands of more minima, in which a
+    pair of the similarity meets with a chance of 1 - 2e-5 as well, but fewer others do.
+    """
+    links = None
+    for level, finer in enumerate([*LEVELS[1:], None]):
+        least = cells.groupBy("key").agg(
+            F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("low"), F.count(F.lit(1)).alias("n")
+        )
+        least = least.filter("n > 1").select("key", F.col("low").bitwiseXOR(F.col("key")).alias("a"))
+        starred = materialise(cells.join(least, "key").select("key", "a", "node"), "buckets")
+        pairs = starred.filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        new = materialise(_similar(pairs.distinct(), sets, similarity), "similar")
+        links = new if links is None else materialise(links.union(new), "similar")
+        rest, found = _labelled(starred.filter("a <> node").select("key", "node"), links)
+        rest = materialise(rest, "rest")
+        mixed = materialise(_mixed(rest), "mixed")
+        if mixed.isEmpty():
+            return found
+        rest = rest.join(mixed, "key")
+        small = rest if finer is None else rest.filter(F.col("n") <= bucket_rows)
+        a = small.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+        b = small.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+        pairs = a.join(b, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
+        links = materialise(links.union(_similar(pairs, sets, similarity)), "similar")
+        if finer is None:
+            return components(links)
+        nodes = materialise(rest.filter(F.col("n") > bucket_rows).select("node").distinct(), "nodes")
+        if nodes.isEmpty():
+            return components(links)
+        cells = materialise(sets.join(nodes, "node").select("node", F.explode(_rebanded(finer)("set")).alias("key")), "cells")
+
+
+def _rebanded(level):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def rebanded(sets: pa.Array) -> pa.Array:
+        arrays = (sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for i in range(len(sets)))
+        return pa.array([band_keys(x, *level) for x in arrays], pa.list_(pa.int64()))
+
+    return rebanded
+
+
 def drop_near_duplicates(
-    docs: DataFrame, doc_id="doc_id", text="text", radius=6, sketch_radius=23, bucket_rows=BUCKET
+    docs: DataFrame, doc_id="doc_id", text="text", similarity=0.8, bucket_rows=BUCKET_PAIRS
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one of least doc_id.
 
-    Copies are documents whose fingerprints of longer words differ in at most ``radius`` bits and
-    whose 128-bit sketches of five-word shingles differ in at most ``sketch_radius`` bits, which
-    a similarity of 0.8 does (19 bits expected); links are followed to whole groups. A null
-    doc_id comes last within its group; equal ids are decided by the hash of the text, and of rows
-    with equal id and text one stays. All columns are kept.
+    Copies are documents whose sets of five-word shingles (lower-cased; a text of fewer words is one
+    shingle) have at least this Jaccard similarity, computed from the sets; links are followed to
+    whole groups. Candidates are pairs that agree in a MinHash band; at 0.8 a pair is missed with a
+    chance of 3 in a million, and less above. A null doc_id comes last within its group; equal ids
+    are decided by the hash of the text, and of rows with equal id and text one stays. All columns
+    are kept.
     """
-    hashed = F.xxhash64(F.coalesce(F.col(f"doc.{text}"), F.lit("")))
-    rows = sketches(docs, text)
-    place = F.struct(F.col(f"doc.{doc_id}").isNull().alias("none"), F.col(f"doc.{doc_id}").alias("id"), hashed.alias("hash"))
-    names = ["fp", "s0", "s1"]
-    slim = materialise(rows.select(*names, place.alias("place")), "sketches")
-    distinct = materialise(slim.groupBy(*names).agg(F.min("place").alias("place")), "distinct")
-    named = classes(distinct.select(*names), radius, sketch_radius, bucket_rows).join(distinct, names)
-    kept = named.groupBy("class_id").agg(F.min("place").alias("place")).select("place.*")
+    small_batches(docs.sparkSession)
+    body = F.coalesce(F.col(f"doc.{text}"), F.lit(""))
+    hashed = F.xxhash64(body)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    place = F.struct(F.col(f"doc.{doc_id}").isNull().alias("none"), F.col(f"doc.{doc_id}").alias("id"), hashed.alias("hash"))
+    slim = packed.select(place.alias("place"), _banded(LEVELS[0])(body).alias("found"))
+    slim = materialise(slim.select("place", "found.*"), "bands")
+    # Equal sets are one node.
+    distinct = slim.groupBy("node").agg(F.min("place").alias("place"), F.any_value("bands").alias("bands"))
+    distinct = materialise(distinct, "distinct")
+    cells = distinct.select("node", F.explode("bands").alias("key"))
+    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    cells = materialise(cells.join(shared, "key").select("node", "key"), "cells")
+    wanted = cells.select("node").distinct().join(distinct.select("node", "place.id", "place.hash"), "node")
     packed = packed.withColumn("id", F.col(f"doc.{doc_id}")).withColumn("hash", hashed)
+    same = packed.id.eqNullSafe(wanted.id) & (packed.hash == wanted.hash)
+    texts = packed.select("id", "hash", body.alias("body")).join(wanted, same).groupBy("node").agg(F.any_value("body").alias("body"))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def shingled(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t).view(np.int64) for t in texts_of(texts)], pa.list_(pa.int64()))
+
+    # The order of the hashes as unsigned numbers does not matter to those who read them.
+    sets = materialise(texts.select("node", shingled("body").alias("set")), "sets")
+    named = distinct.join(similar_classes(cells, sets, similarity, bucket_rows), "node", "left")
+    kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place")).select("place.*")
     joined = packed.join(kept, packed.id.eqNullSafe(kept.id) & (packed.hash == kept.hash), "left_semi")
     first = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
     return joined.withColumn("first", first).filter("first = 1").select("doc.*")

@@ -110,3 +110,51 @@ def test_linked_compares_within_buckets_only():
     bucket = np.array([0, 0, 0, 1, 1])
     values = [np.array([0, 1, 255, 0, 1], np.uint64)]
     assert simhash.linked(bucket, values, 4).tolist() == [0, 0, 2, 3, 3]
+
+
+def shingled(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    a, b = shingled(a), shingled(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(text, places, mark="edit"):
+    words = text.split()
+    for p in places:
+        words[p] = f"{mark}{p}"
+    return " ".join(words)
+
+
+def test_copies_are_those_of_the_similarity_exactly(spark, documents, prose):
+    """Pairs just above 0.8 lose one, pairs just below keep both, short and long ones."""
+    rows, expected = [], set()
+    for i in range(60):
+        n, edits = ((40, 1), (40, 2), (400, 8), (400, 11), (1500, 32), (1500, 45))[i % 6]
+        text = prose(1000 + i, n)
+        near = edited(text, [7 + (n // edits) * k for k in range(edits)])
+        rows += [(2 * i, text), (2 * i + 1, near)]
+        expected |= {2 * i} | ({2 * i + 1} if similarity(text, near) < 0.8 else set())
+    found = {r.doc_id for r in simhash.drop_near_duplicates(documents(rows)).collect()}
+    assert 60 < len(expected) < 120 and found == expected
+
+
+def test_large_buckets_equal_brute_force(spark, documents, prose):
+    """Many documents of one template, some similar enough and some not, in buckets far too large."""
+    rng = random.Random(5)
+    text = prose(77, 120)
+    rows = [(i, edited(text, rng.sample(range(120), rng.randint(1, 5)), f"w{i}x")) for i in range(70)]
+    texts = [t for _, t in rows]
+    root = list(range(70))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(70):
+            for j in range(70):
+                if root[j] < root[i] and similarity(texts[i], texts[j]) >= 0.8:
+                    root[i], changed = root[j], True
+    found = {r.doc_id for r in simhash.drop_near_duplicates(documents(rows), bucket_rows=3).collect()}
+    assert found == set(root) and 5 < len(found) < 60
