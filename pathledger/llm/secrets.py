@@ -30,10 +30,11 @@ def _words(text):
 
 
 def candidates(docs: DataFrame, doc_id="doc_id", text="text", path="source") -> DataFrame:
-    """(doc_id, path, word_no, value, word, before2, before, after) of all words that may hold a secret.
+    """(doc_id, path, word_no, before2, before, after, value, head) of all runs that may be a secret.
 
-    ``word_no`` counts the words of the text from 0. Of a word the first run counts. Null and
-    empty texts have none; neighbours beyond an end of the text are ''.
+    ``word_no`` counts the words of the text from 0. Each run of a word with a digit in it counts,
+    repeats too; ``head`` is what stands before it in the word, from the candidate before on if
+    there is one. Null and empty texts have none; neighbours beyond an end of the text are ''.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), _words(F.col(text)).alias("words"))
 
@@ -47,8 +48,22 @@ def candidates(docs: DataFrame, doc_id="doc_id", text="text", path="source") ->
     found = words.select("doc_id", "path", "words", F.explode(places).alias("word_no"))
     sides = [F.coalesce(F.get("words", F.col("word_no") + k), F.lit("")).alias(n) for n, k in near.items()]
     found = found.select("doc_id", "path", "word_no", *sides)
-    value = F.regexp_extract("word", f"({_RUN})", 1)
-    return found.withColumn("value", value).filter(F.col("value").rlike("[0-9]"))
+    # A word is a gap, a run, a gap and so on.
+    found = found.withColumn("runs", F.regexp_extract_all("word", F.lit(_RUN), F.lit(0)))
+    found = found.withColumn("gaps", F.split("word", _RUN, -1))
+    digits = F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda i: F.get("runs", i).rlike("[0-9]"))
+    found = found.filter(F.size("runs") > 0).withColumn("own", digits)
+    parts = F.flatten(F.transform("gaps", lambda gap, i: F.array(gap, F.coalesce(F.get("runs", i), F.lit("")))))
+    found = found.withColumn("parts", parts)
+
+    def candidate(i, at):
+        last = F.when(at > 0, F.get("own", at - 1))
+        start = F.coalesce(2 * last + 2, F.lit(1))
+        head = F.array_join(F.slice("parts", start, 2 * i + 2 - start), "")
+        return F.struct(F.get("runs", i).alias("value"), head.alias("head"))
+
+    found = found.withColumn("one", F.explode(F.transform("own", candidate)))
+    return found.select("doc_id", "path", "word_no", "before2", "before", "after", "one.value", "one.head")
 
 
 def _chunks(value):
@@ -80,7 +95,7 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
     for pattern, mark in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "0"), ("[^aA0]", "-")):
         kinds = F.regexp_replace(kinds, pattern, mark)
     length = F.length("value")
-    head = F.call_function("substring_index", F.col("word"), value, F.lit(1))
+    head = F.col("head")
     path = F.coalesce("path", F.lit(""))
     columns = {
         "length": length,

@@ -35,3 +35,28 @@ def test_labelled_findings_and_odd_tables(spark, documents, odd, prose):
     assert secrets.scan(documents(odd)).collect() == []
     plan = secrets.scan(documents(true + false))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_every_run_of_a_word_is_a_candidate(spark, documents):
+    one, two = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLE1", "24be0f6c9d1a4b7e8f3021cc"
+    rows = [
+        (1, f"run aws_secret_access_key={one} now"), (2, f'DATABASE_ACCESS_TOKEN="{two}"'),
+        (3, f'x {{"access_token":"{one}","refresh_token":"{two}","again":"{two}"}} y'), (4, "aws_secret_access_key=short1"),
+        (5, f"{one},{two}"),
+    ]
+    found = sorted((r.doc_id, r.word_no, r.head, r.value) for r in secrets.candidates(documents(rows)).collect())
+    assert found == sorted([
+        (1, 1, "aws_secret_access_key=", one), (2, 0, 'DATABASE_ACCESS_TOKEN="', two),
+        (3, 1, '{"access_token":"', one), (3, 1, f'{one}","refresh_token":"', two), (3, 1, f'{two}","again":"', two),
+        (5, 0, "", one), (5, 0, f"{one},", two),
+    ])
+
+
+def test_secrets_by_long_names_and_two_in_a_word_are_found(spark, documents, prose):
+    true, false = rows_of(prose)
+    code = lambda i: f"{random.Random(i).getrandbits(128):032x}"
+    true += [(400 + i, f"{prose(i)} aws_secret_access_key={code(i)} {prose(i)}") for i in range(20)]
+    pairs = [(500 + i, f'{prose(i)} {{"access_token":"{code(100 + i)}","refresh_token":"{code(200 + i)}"}} {prose(i)}') for i in range(20)]
+    found = [(r.doc_id, r.value) for r in secrets.scan(documents(true + false + pairs)).collect() if r.secret]
+    assert {i for i, _ in found} == {i for i, _ in true + pairs}
+    assert sum(i >= 500 for i, _ in found) == 40
