@@ -1,4 +1,4 @@
-"""Near duplicates: SimHash by covering locality-sensitive hashing, and copies by verified shingle similarity."""
+"""Near duplicates by SimHash and covering locality-sensitive hashing."""
 
 import functools
 import random
@@ -16,11 +16,6 @@ BITS = 64
 # Distinct fingerprints of one bucket that are compared in memory; larger buckets are refined.
 BUCKET = 2048
 _STRIPE = 1 << 16
-# MinHash bands (minima in a band, bands): a pair of similarity 0.8 shares none with a chance of
-# 3e-6, and of 2e-5 in the second ones, into which large buckets are dealt.
-LEVELS = ((5, 32), (10, 96))
-# Rows of a bucket whose pairs are compared without dealing it anew.
-BUCKET_PAIRS = 32
 
 
 def _spread_vectors(bits, n):
@@ -106,15 +101,7 @@ def fingerprints(docs: DataFrame, text="text", size=4) -> DataFrame:
     return packed.withColumn("fp", fingerprint(F.col(f"doc.{text}")))
 
 
-def _near(values, i, j, radius, sketch_radius):
-    near = np.bitwise_count(values[0][i] ^ values[0][j]) <= radius
-    if sketch_radius is not None:
-        apart = np.bitwise_count(values[1][i] ^ values[1][j]).astype(np.int64)
-        near &= apart + np.bitwise_count(values[2][i] ^ values[2][j]) <= sketch_radius
-    return near
-
-
-def linked(bucket, values, radius, sketch_radius=None):
+def linked(bucket, values, radius):
     """For each row the first row of its class: rows of equal ``bucket`` that links connect.
 
     ``bucket`` is sorted. Compares each row with the next, the second next and so on in its
@@ -135,7 +122,7 @@ def linked(bucket, values, radius, sketch_radius=None):
         active = active[active + step < len(bucket)]
         active = active[bucket[active] == bucket[active + step]]
         apart = active[root[active] != root[active + step]]
-        hits = apart[_near(values, apart, apart + step, radius, sketch_radius)]
+        hits = apart[np.bitwise_count(values[apart] ^ values[apart + step]) <= radius]
         for i in hits.tolist():
             a, b = find(i), find(i + step)
             root[max(a, b)] = min(a, b)
@@ -145,145 +132,116 @@ def linked(bucket, values, radius, sketch_radius=None):
     return root
 
 
-def _linker(masks, names, radius, sketch_radius, bucket_rows):
+_FOUND = "hot boolean, t int, mask bigint, a bigint, b bigint"
+
+
+def _linker(masks, radius, bucket_rows):
     """Links within the buckets of sorted batches; rows of too large buckets come back as hot."""
     table = np.array(masks, np.uint64)
-    n = len(names)
 
     def out(hot, t, a, b):
-        columns = [pa.array(np.full(len(t), hot)), pa.array(t), pa.array(table[t].view(np.int64))]
-        columns += [pa.array(x.view(np.int64)) for x in (*a, *b)]
-        labels = ["hot", "t", "mask", *[f"a_{c}" for c in names], *[f"b_{c}" for c in names]]
-        return pa.RecordBatch.from_arrays(columns, labels)
+        columns = [pa.array(np.full(len(t), hot)), pa.array(t)]
+        columns += [pa.array(x.view(np.int64)) for x in (table[t], a, b)]
+        return pa.RecordBatch.from_arrays(columns, ["hot", "t", "mask", "a", "b"])
 
     def solve(t, values):
-        key = values[0] & table[t]
+        key = values & table[t]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
         bucket = np.cumsum(new)
         shared = np.bincount(bucket)[bucket] > 1
-        t, bucket, values = t[shared], bucket[shared], [v[shared] for v in values]
-        root = linked(bucket, values, radius, sketch_radius)
+        t, bucket, values = t[shared], bucket[shared], values[shared]
+        root = linked(bucket, values, radius)
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return out(False, t[moved], [v[moved] for v in values], [v[root[moved]] for v in values])
+        return out(False, t[moved], values[moved], values[root[moved]])
 
     def star(t, values, centre):
-        firsts = [np.full(len(t), c, np.uint64) for c in centre]
-        both = [np.concatenate((v, c)) for v, c in zip(values, firsts, strict=True)]
-        at = np.arange(len(t))
-        hit = _near(both, at, at + len(t), radius, sketch_radius)
-        yield out(False, t[hit], [v[hit] for v in values], [c[hit] for c in firsts])
+        hit = np.bitwise_count(values ^ centre) <= radius
+        yield out(False, t[hit], values[hit], np.full(int(hit.sum()), centre, np.uint64))
         yield out(True, t, values, values)
 
     def link(batches):
-        t, values = np.zeros(0, np.int32), [np.zeros(0, np.uint64) for _ in names]
+        t, values = np.zeros(0, np.int32), np.zeros(0, np.uint64)
         hot, centre = None, None
         for batch in batches:
             t = np.concatenate((t, batch.column(0).to_numpy(zero_copy_only=False)))
-            fresh = [batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(n)]
-            values = [np.concatenate(x) for x in zip(values, fresh, strict=True)]
+            values = np.concatenate((values, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
             if not len(t):
                 continue
             if hot is not None:
-                same = int(((t == hot[0]) & (values[0] & table[t] == hot[1])).sum())
+                same = int(((t == hot[0]) & (values & table[t] == hot[1])).sum())
                 if same:
-                    yield from star(t[:same], [v[:same] for v in values], centre)
-                    t, values = t[same:], [v[same:] for v in values]
+                    yield from star(t[:same], values[:same], centre)
+                    t, values = t[same:], values[same:]
                 if not len(t):
                     continue
                 hot = None
-            key = values[0] & table[t]
+            key = values & table[t]
             ends = int(((t == t[-1]) & (key == key[-1])).sum())
             cut = len(t) - ends
-            yield solve(t[:cut], [v[:cut] for v in values])
-            t, values = t[cut:], [v[cut:] for v in values]
+            yield solve(t[:cut], values[:cut])
+            t, values = t[cut:], values[cut:]
             if len(t) > bucket_rows:
-                hot, centre = (t[0], values[0][0] & table[t[0]]), [v[0] for v in values]
+                hot, centre = (t[0], values[0] & table[t[0]]), values[0]
                 yield from star(t, values, centre)
-                t, values = t[:0], [v[:0] for v in values]
+                t, values = t[:0], values[:0]
         if len(t):
             yield solve(t, values)
 
     return link
 
 
-def classes(rows: DataFrame, radius=4, sketch_radius=None, bucket_rows=BUCKET) -> DataFrame:
-    """Distinct fingerprints with their class: columns of ``rows`` and ``class_id``, a long.
+def classes(rows: DataFrame, radius=4, bucket_rows=BUCKET) -> DataFrame:
+    """(fp, class_id) of distinct fingerprints; class_id is a long that all rows of a class share.
 
-    ``rows`` holds the distinct fingerprints ``fp`` (and ``s0``, ``s1`` if ``sketch_radius`` is
-    given) as a stored table. Two rows link if ``fp`` differs in at most ``radius`` bits (and the
-    sketches in at most ``sketch_radius``); a class is what links connect. Every row goes into
-    one bucket of each covering table. Buckets are compared in a stream of sorted rows, and only a
-    spanning forest of their links leaves the task. A bucket with more than ``bucket_rows`` rows
-    links its rows to its first one; if the rows then still are of several classes, it is cut by
-    covering masks over the bits it does not share yet. Every step leaves at most half of the
-    bits, so this ends, and no link is lost.
+    ``rows`` holds the distinct fingerprints ``fp`` as a stored table. Two link if at most
+    ``radius`` bits differ; a class is what links connect. Every row goes into one bucket of each
+    covering table. Buckets are compared in a stream of sorted rows, and only a spanning forest of
+    their links leaves the task. A bucket with more than ``bucket_rows`` rows links its rows to its
+    first one; if the rows then still are of several classes, it is cut by covering masks over the
+    bits it does not share yet. Every step leaves at most half of the bits, and as many bits as
+    the radius tell 2 ** radius rows apart at most, so this ends, and no link is lost.
     """
     spark = rows.sparkSession
-    names = rows.columns
+    if bucket_rows < 1 << radius:
+        raise ValueError("a bucket must hold as many rows as the radius' bits tell apart")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sides = [f"{side}_{c} bigint" for side in "ab" for c in names]
-    schema = ", ".join(["hot boolean", "t int", "mask bigint", *sides])
-    ident = F.xxhash64(*names)
     masks = covering_masks(radius, range(BITS))
-    tables = F.explode(F.array(*[F.lit(i) for i in range(len(masks))]))
-    # The first masks are few enough to stand in the plan; finer ones come from a table.
-    todo = rows.select(tables.alias("t"), *names)
+    todo = rows.select(F.explode(F.array(*[F.lit(i) for i in range(len(masks))])).alias("t"), "fp")
     # The first masks stand in the plan, so a short number for the table is all a row carries;
     # finer ones are too many for that and come with the rows.
     mask = F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("t") + 1)
     links = None
     while True:
         key = F.col("fp").bitwiseAND(mask)
-        dealt = todo.repartition(width, "t", key).sortWithinPartitions("t", key, *names).select("t", *names)
-        work = _linker(masks, names, radius, sketch_radius, bucket_rows)
-        found = materialise(dealt.mapInArrow(work, schema), "found")
-        new = found.filter("not hot").select(
-            F.xxhash64(*[f"a_{c}" for c in names]).alias("a"),
-            F.xxhash64(*[f"b_{c}" for c in names]).alias("b"),
-        )
+        dealt = todo.repartition(width, "t", key).sortWithinPartitions("t", key, "fp").select("t", "fp")
+        found = materialise(dealt.mapInArrow(_linker(masks, radius, bucket_rows), _FOUND), "found")
+        new = found.filter("not hot").select("a", "b")
         links = new if links is None else links.union(new)
         joined = components(links)
-        labelled = rows.withColumn("node", ident).join(joined, "node", "left")
-        labelled = labelled.withColumn("class_id", F.coalesce("root", "node"))
-        hot = found.filter("hot").select("t", "mask", *[F.col(f"a_{c}").alias(c) for c in names])
+        labelled = rows.select(F.col("fp").alias("node")).join(joined, "node", "left")
+        labelled = labelled.select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("class_id"))
+        hot = found.filter("hot").select("t", "mask", F.col("a").alias("fp"))
         if hot.isEmpty():
-            return labelled.select(*names, "class_id")
+            return labelled
         # Buckets of one class are done; the others are cut along bits they do not share.
         key = F.col("fp").bitwiseAND(F.col("mask"))
-        held = hot.join(labelled.select(*names, "class_id"), names)
-        mixed = held.groupBy("t", key.alias("key")).agg(
-            F.min("class_id").alias("low"), F.max("class_id").alias("high"),
-            F.count(F.lit(1)).alias("n"), F.approx_count_distinct("fp").alias("apart"),
-        )
-        mixed = materialise(mixed.filter("low <> high").select("t", "key", "n", "apart"), "mixed")
-        # One row per table at most. The estimate decides how to cut, not what is found.
-        largest = mixed.groupBy("t").agg(F.max(F.struct("n", "apart")).alias("m")).collect()
-        sizes = {row.t: (row.m.n, row.m.apart) for row in largest}
-        if not sizes:
-            return labelled.select(*names, "class_id")
-        hot = materialise(hot.withColumn("key", key).join(mixed.select("t", "key"), ["t", "key"]), "hot")
-        finer, steps = [], []
-        for t, (n, apart) in sorted(sizes.items()):
+        held = hot.join(labelled, "fp").groupBy("t", key.alias("key"))
+        mixed = held.agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+        mixed = materialise(mixed.filter("low <> high").select("t", "key"), "mixed")
+        # Numbers of masks: one row per table at most.
+        uneven = [row.t for row in mixed.select("t").distinct().orderBy("t").collect()]
+        if not uneven:
+            return labelled
+        hot = materialise(hot.withColumn("key", key).join(mixed, ["t", "key"]), "hot")
+        finer, cuts = [], []
+        for t in uneven:
             rest = [i for i in range(BITS) if not masks[t] >> i & 1]
-            if len(rest) > radius and apart > n // 8:
-                more = [masks[t] | m for m in covering_masks(radius, rest)]
-                steps += [(t, 1, 0, len(finer) + i) for i in range(len(more))]
-                finer += more
-                continue
-            # Most rows share all bits: each block of the bucket meets each other block. Two
-            # blocks hold half of what a bucket may, so they are not hot again.
-            blocks = -(-4 * n // bucket_rows) + 1
-            pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
-            for k, (i, j) in enumerate(pairs):
-                steps += [(t, blocks, own, len(finer) + k) for own in {i, j}]
-            finer += [masks[t]] * len(pairs)
-        steps = spark.createDataFrame(steps, "t int, blocks int, own int, next int")
-        cuts = spark.createDataFrame([(i, _signed(m)) for i, m in enumerate(finer)], "next int, mask bigint")
-        blocks = steps.select("t", "blocks").distinct()
-        own = F.pmod(F.xxhash64(*names), F.col("blocks")).cast("int").alias("own")
-        todo = hot.join(blocks, "t").select("t", own, *names).join(steps.join(cuts, "next"), ["t", "own"])
-        todo = todo.select(F.col("next").alias("t"), "mask", *names)
+            more = [masks[t] | m for m in covering_masks(radius, rest)]
+            cuts += [(t, len(finer) + i, _signed(m)) for i, m in enumerate(more)]
+            finer += more
+        cuts = spark.createDataFrame(cuts, "t int, next int, mask bigint")
+        todo = hot.select("t", "fp").join(cuts, "t").select(F.col("next").alias("t"), "mask", "fp")
         masks, mask = finer, F.col("mask")
 
 
@@ -299,7 +257,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", radius=4, buc
     rows = fingerprints(docs, text).select(F.col(f"doc.{doc_id}").alias("doc_id"), "fp")
     rows = materialise(rows, "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    named = classes(distinct.select("fp"), radius, bucket_rows=bucket_rows).join(distinct, "fp")
+    named = classes(distinct.select("fp"), radius, bucket_rows).join(distinct, "fp")
     least = named.groupBy("class_id").agg(F.min("least").alias("component_id"))
     named = named.join(least, "class_id").select("fp", "component_id")
     joined = rows.join(named, "fp")
@@ -307,164 +265,27 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", radius=4, buc
     return joined.select("doc_id", fingerprint, "component_id")
 
 
-def shingle_set(text, size=5):
-    """The distinct hashes of the shingles of ``size`` lower-cased words, sorted."""
-    joined, starts, ends = shingle_spans(text.lower(), size)
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 7) for a, b in zip(starts, ends, strict=True)], np.uint64))
-
-
-@functools.cache
-def _factors(count):
-    return np.random.default_rng(count).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(shingles, rows, bands):
-    """A key per band of ``rows`` MinHash minima: sets of similarity j agree in a band with chance j ** rows."""
-    if not len(shingles):
-        return []
-    factors = _factors(rows * bands)
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    stripe = max(1, (1 << 18) // len(factors))
-    for at in range(0, len(shingles), stripe):
-        np.minimum(least, (shingles[at : at + stripe, None] * factors).min(0), out=least)
-    parts = least.reshape(bands, rows)
-    return [_signed(xxhash.xxh3_64_intdigest(part.tobytes(), rows * 1000 + i)) for i, part in enumerate(parts)]
-
-
-def _banded(level):
-    kind = T.StructType([T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-
-    @F.arrow_udf(kind)
-    def banded(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t) for t in texts_of(texts)]
-        nodes = pa.array([_signed(xxhash.xxh3_64_intdigest(x.tobytes())) for x in sets], pa.int64())
-        bands = pa.array([band_keys(x, *level) for x in sets], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([nodes, bands], ["node", "bands"])
-
-    return banded
-
-
-def _similar(pairs, sets, similarity):
-    """The pairs of nodes (a, b) whose shingle sets have at least that Jaccard similarity."""
-
-    @F.arrow_udf(T.BooleanType())
-    def similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for i in range(len(xs)):
-            x, y = xs[i].values.to_numpy(zero_copy_only=False), ys[i].values.to_numpy(zero_copy_only=False)
-            both = np.sort(np.concatenate((x, y)))
-            shared = int((both[1:] == both[:-1]).sum())
-            out.append(shared >= similarity * (len(both) - shared))
-        return pa.array(out, pa.bool_())
-
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    joined = joined.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    # Sets of too different sizes need no look.
-    x, y = F.size("x"), F.size("y")
-    joined = joined.filter(F.least(x, y) >= F.lit(similarity) * F.greatest(x, y))
-    return joined.filter(similar("x", "y")).select("a", "b")
-
-
-def _labelled(cells, links):
-    """``cells`` (key, node) with the ``root`` of the node, and the links reduced to their forest."""
-    joined = components(links)
-    return cells.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), joined
-
-
-def _mixed(cells):
-    """(key, n) of the buckets that still hold more than one component."""
-    sides = cells.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-    return sides.filter("low <> high").select("key", "n")
-
-
-def similar_classes(cells: DataFrame, sets: DataFrame, similarity=0.8, bucket_rows=BUCKET_PAIRS) -> DataFrame:
-    """(node, root) of all nodes that verified links connect.
-
-    ``cells`` holds the band keys of each node, ``sets`` (node, set) the sorted shingle hashes; both
-    are stored tables. Two nodes link if they share a bucket and their sets have the similarity; no
-    link rests on an estimate. First each bucket compares its rows with one of them, another one in
-    each band, which connects large groups by as many comparisons as there are rows. In buckets
-    that then still hold several components all pairs of different components are compared. Those
-    of more than ``bucket_rows`` rows are first dealt anew by bands of more minima, in which a
-    pair of the similarity meets with a chance of 1 - 2e-5 as well, but fewer others do.
-    """
-    links = None
-    for level, finer in enumerate([*LEVELS[1:], None]):
-        least = cells.groupBy("key").agg(
-            F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("low"), F.count(F.lit(1)).alias("n")
-        )
-        least = least.filter("n > 1").select("key", F.col("low").bitwiseXOR(F.col("key")).alias("a"))
-        starred = materialise(cells.join(least, "key").select("key", "a", "node"), "buckets")
-        pairs = starred.filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        new = materialise(_similar(pairs.distinct(), sets, similarity), "similar")
-        links = new if links is None else materialise(links.union(new), "similar")
-        rest, found = _labelled(starred.filter("a <> node").select("key", "node"), links)
-        rest = materialise(rest, "rest")
-        mixed = materialise(_mixed(rest), "mixed")
-        if mixed.isEmpty():
-            return found
-        rest = rest.join(mixed, "key")
-        small = rest if finer is None else rest.filter(F.col("n") <= bucket_rows)
-        a = small.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        b = small.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        pairs = a.join(b, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-        links = materialise(links.union(_similar(pairs, sets, similarity)), "similar")
-        if finer is None:
-            return components(links)
-        nodes = materialise(rest.filter(F.col("n") > bucket_rows).select("node").distinct(), "nodes")
-        if nodes.isEmpty():
-            return components(links)
-        cells = materialise(sets.join(nodes, "node").select("node", F.explode(_rebanded(finer)("set")).alias("key")), "cells")
-
-
-def _rebanded(level):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def rebanded(sets: pa.Array) -> pa.Array:
-        arrays = (sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for i in range(len(sets)))
-        return pa.array([band_keys(x, *level) for x in arrays], pa.list_(pa.int64()))
-
-    return rebanded
-
-
 def drop_near_duplicates(
-    docs: DataFrame, doc_id="doc_id", text="text", similarity=0.8, bucket_rows=BUCKET_PAIRS
+    docs: DataFrame, doc_id="doc_id", text="text", size=4, radius=4, bucket_rows=BUCKET
 ) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one of least doc_id.
-
-    Copies are documents whose sets of five-word shingles (lower-cased; a text of fewer words is one
-    shingle) have at least this Jaccard similarity, computed from the sets; links are followed to
-    whole groups. Candidates are pairs that agree in a MinHash band; at 0.8 a pair is missed with a
-    chance of 3 in a million, and less above. A null doc_id comes last within its group; equal ids
-    are decided by the hash of the text, and of rows with equal id and text one stays. All columns
-    are kept.
+    """``docs`` with one document of each component of ``near_duplicates``: that of least doc_id.
+
+    Whole texts of any length count, by all their shingles of ``size`` words. Null, empty and blank
+    texts have fingerprint zero and link like any other, so one of them stays. A null doc_id comes
+    last within its component; equal ids are decided by the hash of the text, and of rows with
+    equal id and text one stays. All columns are kept.
     """
-    small_batches(docs.sparkSession)
-    body = F.coalesce(F.col(f"doc.{text}"), F.lit(""))
-    hashed = F.xxhash64(body)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    place = F.struct(F.col(f"doc.{doc_id}").isNull().alias("none"), F.col(f"doc.{doc_id}").alias("id"), hashed.alias("hash"))
-    slim = packed.select(place.alias("place"), _banded(LEVELS[0])(body).alias("found"))
-    slim = materialise(slim.select("place", "found.*"), "bands")
-    # Equal sets are one node.
-    distinct = slim.groupBy("node").agg(F.min("place").alias("place"), F.any_value("bands").alias("bands"))
-    distinct = materialise(distinct, "distinct")
-    cells = distinct.select("node", F.explode("bands").alias("key"))
-    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    cells = materialise(cells.join(shared, "key").select("node", "key"), "cells")
-    wanted = cells.select("node").distinct().join(distinct.select("node", "place.id", "place.hash"), "node")
-    packed = packed.withColumn("id", F.col(f"doc.{doc_id}")).withColumn("hash", hashed)
-    same = packed.id.eqNullSafe(wanted.id) & (packed.hash == wanted.hash)
-    texts = packed.select("id", "hash", body.alias("body")).join(wanted, same).groupBy("node").agg(F.any_value("body").alias("body"))
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def shingled(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t).view(np.int64) for t in texts_of(texts)], pa.list_(pa.int64()))
-
-    # The order of the hashes as unsigned numbers does not matter to those who read them.
-    sets = materialise(texts.select("node", shingled("body").alias("set")), "sets")
-    named = distinct.join(similar_classes(cells, sets, similarity, bucket_rows), "node", "left")
-    kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place")).select("place.*")
-    joined = packed.join(kept, packed.id.eqNullSafe(kept.id) & (packed.hash == kept.hash), "left_semi")
-    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
-    return joined.withColumn("first", first).filter("first = 1").select("doc.*")
+    place = [
+        F.col(f"doc.{doc_id}").isNull().alias("none"),
+        F.coalesce(F.col(f"doc.{doc_id}"), F.lit(0)).alias("id"),
+        F.xxhash64(F.col(f"doc.{text}")).alias("hash"),
+    ]
+    slim = materialise(fingerprints(docs, text, size).select(F.struct(*place).alias("place"), "fp"), "fingerprints")
+    distinct = materialise(slim.groupBy("fp").agg(F.min("place").alias("place")), "distinct")
+    named = classes(distinct.select("fp"), radius, bucket_rows).join(distinct, "fp")
+    kept = named.groupBy("class_id").agg(F.min("place").alias("place")).select("place.*")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc")).select("doc", *place)
+    # Of repeated rows each task passes on one, so a row that repeats often is no hot key.
+    first = F.row_number().over(Window.partitionBy("none", "id", "hash").orderBy(F.lit(0)))
+    single = packed.withColumn("first", first).filter("first = 1").drop("first")
+    return single.join(kept, ["none", "id", "hash"], "left_semi").select("doc.*")
