@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from pathledger.llm import chat, decontaminate, mixing, pii, quality_rules, quality_select, secrets, simhash, substrings, toxicity
+from pathledger.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    mixing,
+    pii,
+    quality_rules,
+    quality_select,
+    secrets,
+    simhash,
+    substrings,
+    topk,
+    toxicity,
+    whitening,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -174,3 +188,66 @@ def op10_toxicity(spark, sf_dir):
     held_out = toxicity.held_out(F.col("doc.doc_id")).alias("held_out")
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc.doc_id", held_out, "score", predicted)
+
+
+@query()
+def op11_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # Exact in the operator; a long cannot hold it beyond some 10^8 vectors, then it is null.
+    deviation = F.col("deviation").try_cast("bigint").alias("deviation")
+    return found.select("doc.vec_id", "component", "n", deviation, "whitened", "explained", "identity_error")
+
+
+def _scaled_sql(factor, more="true"):
+    return f"""SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({factor} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+      FROM embeddings WHERE embedding IS NOT NULL AND {more}
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"""
+
+
+@query(
+    f"""
+    WITH v AS ({_scaled_sql(1024)}),
+    pairs AS (
+      SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+      vec_id, score
+    FROM pairs QUALIFY rank <= 10
+    """
+)
+def op12_topk_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.nearest(rows, rows.filter("vec_id % 100 = 0"))
+
+
+def _clusters_sql(k=8, rounds=10):
+    hashed = "sha256('3:' || vec_id)"
+    steps = [
+        f"v AS MATERIALIZED ({_scaled_sql(1024, 'len(embedding) = 64')})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {hashed}, x) - 1 AS k, x AS c FROM v ORDER BY {hashed}, x LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+      SELECT vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i}
+      QUALIFY row_number() OVER (PARTITION BY vec_id, x ORDER BY d, k) = 1)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""s{i} AS (SELECT k, p, sum(e) AS s, count(*) AS n
+      FROM (SELECT k, unnest(x) AS e, unnest(range(1, 65)) AS p FROM a{i}) GROUP BY k, p),
+    m{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS c FROM s{i} GROUP BY k),
+    c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (k))"""
+            )
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+      CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+@query(_clusters_sql())
+def op13_centroid_clustering(spark, sf_dir):
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+    return found.select("doc.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
