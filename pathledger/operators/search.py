@@ -6,8 +6,10 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pathledger.functions.globs import glob_regex
 from pathledger.functions.paths import base_name
-from pathledger.sources.catalog import read_catalog
+from pathledger.sources.catalog import read_catalog, read_table
+from pathledger.sources.name_index import open_name_index
 from pathledger.streaming.monitor import current_catalog
 
 # Binary multiples of the size units.
@@ -22,39 +24,6 @@ _COMPARE = {
 }
 
 
-def _char_class(body):
-    """Regular expression of the inside of a glob's brackets; ranges that run backwards are empty."""
-    negate, items, at = body.startswith("!"), [], 0
-    body = body[1:] if negate else body
-    while at < len(body):
-        low = high = body[at]
-        if body[at + 1 : at + 2] == "-" and at + 2 < len(body):
-            high = body[at + 2]
-            at += 2
-        if low <= high:
-            items.append("-".join(re.sub(r"[\\\[\]&^-]", r"\\\g<0>", c) for c in (low, high)))
-        at += 1
-    if not items:
-        return "." if negate else "(?!)"
-    return f"[{'^' if negate else ''}{''.join(items)}]"
-
-
-def glob_regex(glob):
-    """Anchored regular expression of a glob with ``*``, ``?``, ``[...]`` and ``[!...]``."""
-    out, at = ["(?s)^"], 0
-    while at < len(glob):
-        char = glob[at]
-        # A bracket closes after at least one character, so "[]]" is a set of one.
-        close = glob.find("]", at + 2 + (glob[at + 1 : at + 2] == "!")) if char == "[" else -1
-        if close > 0:
-            out.append(_char_class(glob[at + 1 : close]))
-            at = close
-        else:
-            out.append({"*": ".*", "?": "."}.get(char) or re.escape(char))
-        at += 1
-    return "".join(out) + r"\z"
-
-
 def search_glob(df: DataFrame, glob, path="path", ignore_case=False) -> DataFrame:
     """Files whose name matches the glob. ``*`` plus plain text compiles to a suffix test."""
     plain_end = re.fullmatch(r"\*([^*?\[\\/]*)", glob)
@@ -89,25 +58,40 @@ def search_size(df: DataFrame, size, column="size") -> DataFrame:
     return df.filter(_COMPARE[sign](F.col(column), amount))
 
 
-def search(df: DataFrame, name=None, modified=None, size=None, as_of=None, ignore_case=False):
-    """All given criteria together, in path order."""
+def search(df: DataFrame, name=None, modified=None, size=None, as_of=None, ignore_case=False, few=False):
+    """All given criteria together, in path order. ``few`` tells that one task can sort the rows of ``df``."""
     if name is not None:
         df = search_glob(df, name, ignore_case=ignore_case)
     if modified is not None:
         df = search_modified(df, modified, as_of)
     if size is not None:
         df = search_size(df, size)
-    return df.orderBy("path")
+    return df.coalesce(1).sortWithinPartitions("path") if few else df.orderBy("path")
+
+
+def _stored_rows(spark, location, name, read):
+    """The rows of a stored catalog that a search for ``name`` must look at, and whether they are few.
+
+    They come from the catalog's index of names if it has one.
+    """
+    index = open_name_index(spark, location) if name is not None else None
+    found = index.candidates(spark, name) if index else None
+    return (read(spark, location), False) if found is None else found
 
 
 def search_files(name=None, modified=None, size=None, *, catalog=None, live=None, spark=None, **options):
     """``search`` over a stored catalog: ``search_files("*.py")``, ``search_files(size=">100MB")``.
 
     ``catalog`` is its location, by default the session setting ``spark.pathledger.catalog``.
-    ``live``, the folder of a ``streaming.monitor``, searches what the last completed poll left.
+    ``live``, the folder of a ``streaming.monitor``, searches what the last completed poll left. A
+    name search reads only the rows of one trigram where the catalog has a ``name_index`` and the
+    glob holds three plain characters in a row, counting its fixed start and end, that are not in
+    too many names; it reads all rows otherwise. Both give the same.
     """
     spark = spark or SparkSession.active()
     if live is not None:
-        return search(current_catalog(spark, live), name, modified, size, **options)
+        base = lambda session, location: _stored_rows(session, location, name, read_table)[0]
+        return search(current_catalog(spark, live, read_base=base), name, modified, size, **options)
     catalog = catalog or spark.conf.get("spark.pathledger.catalog")
-    return search(read_catalog(spark, catalog), name, modified, size, **options)
+    rows, few = _stored_rows(spark, catalog, name, read_catalog)
+    return search(rows, name, modified, size, few=few, **options)

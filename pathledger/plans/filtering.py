@@ -6,6 +6,8 @@ from pathledger.functions.paths import directory_of
 from pathledger.operators import filters, ordering, search as searching
 from pathledger.plans import fixtures as fx
 from pathledger.plans.registry import query
+from pathledger.session import fresh_folder
+from pathledger.sources import catalog, name_index
 
 
 def _shaped(where):
@@ -125,6 +127,29 @@ def search_combined(spark, sf_dir):
     return found.select("path", "size", "mtime")
 
 
+@query(fx.with_tables("SELECT path, size FROM files WHERE regexp_matches(path, 'doc_12[0-9]*[.]py$')"))
+def search_name_index(spark, sf_dir):
+    """A search by the trigrams of names; some files came to the catalog after they were indexed."""
+    files, location = fx.files(spark, sf_dir), fresh_folder(spark, "catalog")
+    catalog.write_catalog(files.filter("size % 5 <> 0"), location)
+    name_index.build_name_index(spark, location)
+    catalog.write_catalog(files.filter("size % 5 = 0"), location)
+    return searching.search_files("*_12*.py", catalog=location, spark=spark).select("path", "size")
+
+
+@query(
+    fx.with_tables(
+        "SELECT path, size, mtime FROM files WHERE size > 1024 AND mtime // 86400 = CAST(epoch(DATE '2024-01-15') AS BIGINT) // 86400"
+    )
+)
+def search_on_curve(spark, sf_dir):
+    """A search by day and size over a catalog that lies along a curve over both."""
+    location = fresh_folder(spark, "catalog")
+    catalog.write_catalog(fx.files(spark, sf_dir), location, curve=("mtime", "size"))
+    found = searching.search_files(modified="2024-01-15", size=">1KB", catalog=location, spark=spark)
+    return found.select("path", "size", "mtime")
+
+
 @query(fx.with_tables("SELECT DISTINCT directory FROM shaped_paths", fx.SHAPE_SQL))
 def distinct_dirs(spark, sf_dir):
     return ordering.distinct_dirs(fx.shaped_paths(spark, sf_dir), directory_of("relative"))

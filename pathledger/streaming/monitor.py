@@ -29,6 +29,7 @@ from pathledger.operators.snapshots import (
 )
 from pathledger.schema import POLL_SECONDS, SNAPSHOT_MANIFEST
 from pathledger.sources.catalog import read_table, write_catalog
+from pathledger.sources.name_index import build_name_index
 
 _UPSERT, _DELETE = "upsert", "delete"
 _BATCH = "batch_id"
@@ -87,16 +88,17 @@ def move_history(spark: SparkSession, root) -> DataFrame:
     return _stored(spark, root, "move_history")
 
 
-def current_catalog(spark: SparkSession, root, before=None) -> DataFrame:
+def current_catalog(spark: SparkSession, root, before=None, read_base=read_table) -> DataFrame:
     """The catalog after the last completed poll, or after the polls before ``before``.
 
     The latest base, without the paths that later deltas name, plus the rows that those upsert.
+    ``read_base(spark, location)`` may leave out rows of the base that the caller has no use for.
     """
     last = _latest(spark, root, "polls", before)
     if last is None:
         return None
     start = _latest(spark, root, "bases", last + 1)
-    base = read_table(spark, f"{root}/base/{_BATCH}={start}")
+    base = read_base(spark, f"{root}/base/{_BATCH}={start}")
     columns = T.StructType([*base.schema, T.StructField("op", T.StringType())])
     deltas = _stored(spark, root, "delta", columns)
     later = deltas.filter((F.col(_BATCH) > start) & (F.col(_BATCH) <= last))
@@ -107,11 +109,11 @@ def current_catalog(spark: SparkSession, root, before=None) -> DataFrame:
     return kept.unionByName(entered)
 
 
-def compact(spark: SparkSession, root):
+def compact(spark: SparkSession, root, index=False):
     """Write the current catalog as a new base, so that reading needs no earlier deltas."""
     last = _latest(spark, root, "polls")
     if last is not None and last != _latest(spark, root, "bases"):
-        _write_base(current_catalog(spark, root), root, last)
+        _write_base(current_catalog(spark, root), root, last, index)
 
 
 def _write(df, root, kind, batch_id):
@@ -138,8 +140,12 @@ def _first_poll(spark, root):
     return False
 
 
-def _write_base(catalog, root, batch_id):
-    write_catalog(catalog, f"{root}/base/{_BATCH}={batch_id}", mode="overwrite")
+def _write_base(catalog, root, batch_id, index):
+    location = f"{root}/base/{_BATCH}={batch_id}"
+    write_catalog(catalog, location, mode="overwrite")
+    if index:
+        # Searches take later changes from the deltas, so the index holds until the next base.
+        build_name_index(catalog.sparkSession, location)
     # The marker comes last: a base that was not finished is never read.
     marker = _one_row(catalog.sparkSession, _SCHEMAS["bases"], ["base"])
     _write(marker, root, "bases", batch_id)
@@ -156,7 +162,7 @@ def _delta(diff, curr):
     return entered.unionByName(gone, allowMissingColumns=True)
 
 
-def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFrame, verify=False):
+def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFrame, verify=False, index=False):
     """Compare one listing with the stored catalog and store what changed.
 
     A listing whose id is not above that of the last completed poll is stale: it came out of order
@@ -176,7 +182,7 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
     counts = {}
     if prev is None:
         # The first listing is only the baseline.
-        _write_base(curr, root, batch_id)
+        _write_base(curr, root, batch_id, index)
     else:
         # Intermediate tables of a poll replace those of the poll before.
         work = f"{root}/work"
@@ -214,11 +220,13 @@ def monitor(
     verify=False,
     compact_every=86_400 // POLL_SECONDS,
     trigger=None,
+    index=False,
 ):
     """Start the stream over ``manifests`` and return its query.
 
     ``read_snapshot(spark, location)`` gives the listing as a catalog table; Parquet by default.
-    The deltas of ``compact_every`` polls, by default those of a day, are folded into a new base.
+    The deltas of ``compact_every`` polls, by default those of a day, are folded into a new base,
+    which with ``index`` gets an index of its names.
     ``trigger`` defaults to working off what is there and stopping; pass
     ``{"processingTime": "300 seconds"}`` to keep polling. Stopped or failed, the stream continues
     after the last completed poll.
@@ -232,9 +240,9 @@ def monitor(
         session = batch.sparkSession
         for line in lines:
             curr = read_snapshot(session, line["location"])
-            process_poll(session, root, batch_id, line["snapshot_id"], curr, verify)
+            process_poll(session, root, batch_id, line["snapshot_id"], curr, verify, index)
         if (batch_id + 1) % compact_every == 0:
-            compact(session, root)
+            compact(session, root, index)
 
     return (
         spark.readStream.schema(SNAPSHOT_MANIFEST)

@@ -9,7 +9,8 @@ import pytest
 
 from pathledger import search
 from pathledger.operators import filters
-from pathledger.operators.search import glob_regex, search_glob, search_modified, search_size
+from pathledger.functions.globs import glob_regex
+from pathledger.operators.search import search_glob, search_modified, search_size
 from pathledger.plans import fixtures as fx
 
 GLOBS = [
