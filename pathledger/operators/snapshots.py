@@ -233,7 +233,8 @@ def moves_same_size(prev: DataFrame, curr: DataFrame) -> DataFrame:
 
     Both sides are numbered in path order by one pass; a size may hold any number of files.
     """
-    diff = snapshot_diff(prev, curr).filter(F.col("change_type").isin(NEW, DELETED))
+    # Stored, since the range shuffle of the numbering looks at it twice.
+    diff = stored_diff(prev, curr, hashes=False)[0].filter(F.col("change_type").isin(NEW, DELETED))
     ranked = numbered(
         diff.select("path", "size", "change_type"), ["path"], ["size", "change_type"], "k"
     )

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from pathledger.functions.paths import drive_of, is_archive_scan
-from pathledger.operators import archives, ordering, snapshots as ops, stats
+from pathledger.operators import archives, digests, ordering, snapshots as ops, stats
 from pathledger.plans import fixtures as fx
 from pathledger.plans.registry import query
+from pathledger.session import fresh_folder
 
 
 def change_sql(prev="prev", curr="curr", tag=""):
@@ -65,6 +66,18 @@ def snapshot_diff(spark, sf_dir):
     return ops.snapshot_diff(*_pair(spark, sf_dir)).select("path", "change_type")
 
 
+@query(_sql("SELECT path, change_type FROM diff"))
+def digest_tree_diff(spark, sf_dir):
+    """The same rows by trees of digests, stored for each snapshot."""
+    snapshots, trees = [], []
+    for rows in _pair(spark, sf_dir):
+        location = fresh_folder(spark, "tree")
+        digests.write_tree(rows, location)
+        snapshots.append(rows)
+        trees.append(digests.read_tree(spark, location))
+    return digests.tree_diff(*snapshots, *trees, hashes=False).select("path", "change_type")
+
+
 _MOVES_SQL = _sql(
     """
     SELECT old_path, new_path, size, CAST(0.9 AS DOUBLE) AS confidence, 'same_name_and_size' AS reason

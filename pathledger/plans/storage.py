@@ -184,6 +184,17 @@ def read_catalog(spark, sf_dir):
     return merged.withColumn("ctime", F.coalesce("ctime", F.lit(0).cast("bigint")))
 
 
+@query(fx.with_tables("SELECT path, change_type FROM diff", fx.SNAPSHOT_SQL, change_sql()))
+def bucketed_snapshot_diff(spark, sf_dir):
+    """The comparison of two snapshots stored in the same buckets."""
+    stored = []
+    for rows in (fx.prev_snapshot(spark, sf_dir), fx.curr_snapshot(spark, sf_dir)):
+        location = fresh_folder(spark, "snapshot")
+        catalog.write_snapshot(rows, location, 8)
+        stored.append(catalog.read_snapshot(spark, location, 8))
+    return ops.snapshot_diff(*stored, hashes=False).select("path", "change_type")
+
+
 @query(
     fx.with_tables(
         """

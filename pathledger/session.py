@@ -43,6 +43,12 @@ def fresh_folder(spark, label):
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored_at(spark, location):
+    """Whether Spark finished writing a table at ``location``, on any storage that it reaches."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def materialise(df: DataFrame, label="table", folder=None) -> DataFrame:
     """Write ``df`` once and return the stored table.
 

@@ -1,6 +1,7 @@
 """Catalog and move tables in Parquet."""
 
 import functools
+import uuid
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -88,6 +89,32 @@ def read_catalog(spark: SparkSession, *locations) -> DataFrame:
     return first
 
 
+def write_snapshot(files: DataFrame, location, buckets) -> DataFrame:
+    """Store a snapshot in buckets by path, and return the stored table.
+
+    Two snapshots of the same number of buckets meet by path without any exchange: bucket i of one
+    is compared with bucket i of the other. Choose ``buckets`` for the size of a bucket at 100 to 200 MB.
+    """
+    name = f"snapshot_{uuid.uuid4().hex}"
+    # The table is only a name for the files of this location; dropping it leaves them.
+    files.repartition(buckets, "path").write.bucketBy(buckets, "path").sortBy("path").option("path", location).option(
+        "compression", "zstd"
+    ).saveAsTable(name)
+    return files.sparkSession.table(name)
+
+
+def read_snapshot(spark: SparkSession, location, buckets) -> DataFrame:
+    """A snapshot that ``write_snapshot`` stored in so many buckets, also in another session."""
+    name = f"snapshot_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(location).schema)
+    place = location.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (path) SORTED BY (path) INTO {buckets} BUCKETS "
+        f"LOCATION '{place}'"
+    )
+    return spark.table(name)
+
+
 def append_moves(moves: DataFrame, location):
     """Append move records."""
     moves.write.mode("append").option("compression", "zstd").parquet(location)

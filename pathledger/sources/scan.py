@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pathledger.functions.content import content_md5_at
 from pathledger.functions.paths import drive_of, ext_splitext, is_archive_scan
 from pathledger.operators.filters import only_success, skip_dirs_substring, skip_extensions
-from pathledger.session import fresh_folder
+from pathledger.session import fresh_folder, stored_at
 
 _LISTED = (
     "path string, name string, is_dir boolean, size bigint, mtime_ns bigint, ctime_ns bigint, "
@@ -75,12 +75,6 @@ def _list_directories(batches):
 _ARROW_TYPES = {"size": "Int64", "mtime_ns": "Int64", "ctime_ns": "Int64"}
 
 
-def _complete(spark, location):
-    """Whether Spark finished writing the table at ``location``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
-
-
 def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidden=False, store=None):
     """Scan results of file trees that every executor has mounted.
 
@@ -100,7 +94,7 @@ def walk_files(spark: SparkSession, *roots, depth=None, skip_names=(), skip_hidd
     waiting = len(roots)
     while waiting:
         target = f"{store}/level={level}"
-        if not _complete(spark, target):
+        if not stored_at(spark, target):
             # Directories are few bytes but much work each: spread them by count.
             spread = frontier.repartition(min(width, waiting), "path")
             listed = spread.mapInPandas(_list_directories, _LISTED)

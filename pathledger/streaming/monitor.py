@@ -8,6 +8,7 @@ listing with the stored catalog and writes tables below one folder:
   the finished ones
 - ``delta/batch_id=N``: changed catalog rows of poll N, ``op`` is ``upsert`` or ``delete``
 - ``changes/batch_id=N``, ``move_history/batch_id=N``: what poll N found
+- ``digests/batch_id=N``: the digest tree of listing N, where the monitor compares by digests
 - ``polls/batch_id=N``: counts of poll N, written last, so that it marks the poll as complete
 
 A batch that is repeated after a failure reads only what earlier batches wrote and overwrites its
@@ -17,6 +18,7 @@ own folders.
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from pathledger.operators.digests import read_tree, tree_diff, write_tree
 from pathledger.operators.ordering import latest_version
 from pathledger.operators.snapshots import (
     DELETED,
@@ -28,6 +30,7 @@ from pathledger.operators.snapshots import (
     stored_diff,
 )
 from pathledger.schema import POLL_SECONDS, SNAPSHOT_MANIFEST
+from pathledger.session import materialise, stored_at
 from pathledger.sources.catalog import read_table, write_catalog
 from pathledger.sources.name_index import build_name_index
 
@@ -162,7 +165,24 @@ def _delta(diff, curr):
     return entered.unionByName(gone, allowMissingColumns=True)
 
 
-def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFrame, verify=False, index=False):
+def _poll_diff(spark, root, batch_id, prev, curr, earlier, verify, digests, work):
+    """The stored diff of a poll, and the number of its rows."""
+    tree = f"{root}/digests/{_BATCH}={batch_id}"
+    if digests:
+        write_tree(curr, tree)
+    # Stale polls have no counts, and changed nothing.
+    last = earlier.filter("new IS NOT NULL").agg(F.max(_BATCH)).first()[0] if digests else None
+    before = f"{root}/digests/{_BATCH}={last}"
+    if last is None or not stored_at(spark, before):
+        return stored_diff(prev, curr, hashes=verify, rows=True, folder=work)
+    found = tree_diff(prev, curr, read_tree(spark, before), read_tree(spark, tree), hashes=verify, rows=True)
+    diff = materialise(found, "diff", work)
+    return diff, diff.count()
+
+
+def process_poll(
+    spark: SparkSession, root, batch_id, snapshot_id, curr: DataFrame, verify=False, index=False, digests=False
+):
     """Compare one listing with the stored catalog and store what changed.
 
     A listing whose id is not above that of the last completed poll is stale: it came out of order
@@ -182,11 +202,13 @@ def process_poll(spark: SparkSession, root, batch_id, snapshot_id, curr: DataFra
     counts = {}
     if prev is None:
         # The first listing is only the baseline.
+        if digests:
+            write_tree(curr, f"{root}/digests/{_BATCH}={batch_id}")
         _write_base(curr, root, batch_id, index)
     else:
         # Intermediate tables of a poll replace those of the poll before.
         work = f"{root}/work"
-        diff, rows = stored_diff(prev, curr, hashes=verify, rows=True, folder=work)
+        diff, rows = _poll_diff(spark, root, batch_id, prev, curr, earlier, verify, digests, work)
         _write(changes_from_diff(diff, rows, verify, work), root, "changes", batch_id)
         # Only the folder of this poll, however many there are.
         found = spark.read.schema(_SCHEMAS["changes"]).parquet(f"{root}/changes/{_BATCH}={batch_id}")
@@ -221,12 +243,14 @@ def monitor(
     compact_every=86_400 // POLL_SECONDS,
     trigger=None,
     index=False,
+    digests=False,
 ):
     """Start the stream over ``manifests`` and return its query.
 
     ``read_snapshot(spark, location)`` gives the listing as a catalog table; Parquet by default.
     The deltas of ``compact_every`` polls, by default those of a day, are folded into a new base,
-    which with ``index`` gets an index of its names.
+    which with ``index`` gets an index of its names. With ``digests`` each poll stores the digest tree of
+    its listing, and only files of directories that differ from the poll before are joined.
     ``trigger`` defaults to working off what is there and stopping; pass
     ``{"processingTime": "300 seconds"}`` to keep polling. Stopped or failed, the stream continues
     after the last completed poll.
@@ -240,7 +264,7 @@ def monitor(
         session = batch.sparkSession
         for line in lines:
             curr = read_snapshot(session, line["location"])
-            process_poll(session, root, batch_id, line["snapshot_id"], curr, verify, index)
+            process_poll(session, root, batch_id, line["snapshot_id"], curr, verify, index, digests)
         if (batch_id + 1) % compact_every == 0:
             compact(session, root, index)
 
