@@ -2,7 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir). All but the last return
 the columns of ``docs``. Each works on everything the one before it has kept, and its decisions
-take effect. The other tables (labels, benchmark) are read from ``sf_dir``.
+take effect. The other tables (labels, benchmark) are read from ``sf_dir``. Null and empty texts are
+neither toxic nor contaminated; as near copies of each other (fingerprint zero) one of them stays,
+and the mix takes no document without words. Repeated rows are near copies, whole texts of any
+length count, and empty tables give no rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +39,12 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their share of the mix: size, source_size, target and taken, in words.
+    """The mix: documents by their repetitions, a partly taken one with the words taken.
 
-    A document is to be repeated taken / size times; taken 0 leaves it out.
+    With them the number of the copy and the figures of the mix: size, source_size, target, taken.
     """
-    mixed = mixing.mix(docs)
-    return mixed.select("doc.*", "size", "source_size", "target", "taken")
+    mixed = mixing.repeated(mixing.mix(docs))
+    return mixed.select("doc.*", "copy", "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -101,3 +101,19 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed=17,
     return plain.unionByName(summed).select(
         "doc", "size", "source_size", "target", taken.cast("long").alias("taken")
     )
+
+
+def repeated(mixed: DataFrame, text="text") -> DataFrame:
+    """The rows of a ``mix`` as often as it takes them, with their number ``copy`` from 1.
+
+    A document taken 0 times is not there, one taken twice is there twice. A copy that is taken in
+    part has the first words of its text, joined by single spaces. So the words of all rows of a
+    source add up to what the mix takes of it. Documents without words are never taken. The
+    repetitions are made where the row is; a document has as many as the mix has epochs, one more at most.
+    """
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    words = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    body = F.col(f"doc.{text}")
+    part = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
+    return rows.withColumn("doc", F.col("doc").withField(text, F.when(words >= F.col("size"), body).otherwise(part)))

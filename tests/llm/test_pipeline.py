@@ -18,13 +18,26 @@ def folder(spark, documents, odd, prose, tmp_path):
 
 
 def test_all_stages(spark, folder):
-    out = corpus_pipeline.run(spark, folder)
-    found = {r.doc_id: r for r in out.collect()}
-    assert {1, 3, 6, 7, 8, 40, 43} <= set(found) and not {2, 4, 5, 41, 42, None} & set(found)
-    assert not any(i in found for i in range(100, 300, 4))
-    assert all(i in found for i in range(100, 300) if i % 4)
-    assert found[43].text.endswith("write [EMAIL]")
-    assert sum(r.taken for r in found.values()) == pytest.approx(1.5 * sum(r["size"] for r in found.values()), abs=3)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    kept = {r.doc_id: r for r in docs.collect()}
+    # Of 3, 4 and 5, all without words, the first stays; 2, 41 and null are copies, 42 is contaminated.
+    assert {1, 3, 6, 7, 8, 40, 43} <= set(kept) and not {2, 4, 5, 41, 42, None} & set(kept)
+    assert not any(i in kept for i in range(100, 300, 4))
+    assert all(i in kept for i in range(100, 300) if i % 4)
+    assert kept[43].text.endswith("write [EMAIL]")
+
+
+def test_the_mix_takes_effect(spark, folder):
+    """The words of the rows are those that the mix takes."""
+    out = corpus_pipeline.run(spark, folder).collect()
+    words = [len(r.text.split()) for r in out]
+    taken, sizes = {r.doc_id: r.taken for r in out}, {r.source: r.source_size for r in out}
+    assert sum(words) == sum(taken.values()) == pytest.approx(1.5 * sum(sizes.values()), abs=3)
+    assert all(r.taken > 0 and n == min(r["size"], r.taken - (r["copy"] - 1) * r["size"]) for r, n in zip(out, words, strict=True))
+    assert len({(r.doc_id, r["copy"]) for r in out}) == len(out) and {r["copy"] for r in out} == {1, 2}
+    assert 3 not in taken and sum(n < r["size"] for r, n in zip(out, words, strict=True)) <= len(sizes)
 
 
 def test_columns_and_empty_documents(spark, folder):
