@@ -83,37 +83,57 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 BREAK = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 
 
-def _cut(text, limit=CHUNK_BYTES):
-    """One long text in pieces of about ``limit`` bytes, cut at a separator where there is one."""
-    at = 0
-    while len(text) - at > limit:
-        cut = max(text.rfind(b" ", at, at + limit), text.rfind(b"\n", at, at + limit))
-        cut = cut if cut > at else at + limit
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def _spans(buf, breaks):
+    """Starts and ends of the words in an array of bytes."""
+    inside = np.zeros(len(buf) + 2, np.int8)
+    inside[1:-1] = ~breaks[buf]
+    edges = np.flatnonzero(np.diff(inside))
+    return edges[::2], edges[1::2]
 
 
 def _hashed_block(block, breaks, codes):
     buf = np.frombuffer(block, np.uint8)
-    inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~breaks[buf]
-    edges = np.flatnonzero(np.diff(inside))
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends = _spans(buf, breaks)
     return starts, ends, span_hashes(prefix_sums(codes[buf]), starts, ends)
 
 
-def located_words(texts, breaks=BREAK, fold=True):
-    """Hashes of all words with the text's number and the span in its bytes, in parts of bounded size."""
+def _hashed_text(text, breaks, codes, limit):
+    """``_hashed_block`` of a long text in slices; a word that goes on in the next slice is carried over."""
+    begun, total, length = None, np.zeros(1, np.uint64), 0
+    for at in range(0, len(text), limit):
+        buf = np.frombuffer(text, np.uint8, min(limit, len(text) - at), at)
+        starts, ends = _spans(buf, breaks)
+        sums = prefix_sums(codes[buf])
+        # Sums of the words as if each began at zero; what was carried stands before the first one.
+        found = (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
+        starts, ends = starts + at, ends + at
+        if begun is not None:
+            if len(starts) and starts[0] == at:
+                shift = np.array([pow(int(_BASE), length, 1 << 64)], np.uint64)
+                found[:1] = total + found[:1] * shift
+                starts[0] = begun
+            else:
+                starts, ends = np.append(begun, starts), np.append(at, ends)
+                found = np.append(total, found)
+        begun = None
+        if len(ends) and ends[-1] == at + len(buf) < len(text):
+            begun, total, length = int(starts[-1]), found[-1:], int(ends[-1] - starts[-1])
+            starts, ends, found = starts[:-1], ends[:-1], found[:-1]
+        yield starts, ends, mixed(found)
+
+
+def located_words(texts, breaks=BREAK, fold=True, limit=CHUNK_BYTES):
+    """Hashes of all words with the text's number and the span in its bytes, in parts of bounded size.
+
+    A word is what stands between two separators, however long; ``limit``, the bytes looked at together,
+    changes no result.
+    """
     codes = _CODES_FOLDED if fold else _CODES
-    for first, last in chunks(texts):
+    for first, last in chunks(texts, limit):
         part = texts[first:last]
-        if last - first == 1 and len(part[0]) > CHUNK_BYTES:
-            at = 0
-            for piece in _cut(part[0]):
-                starts, ends, hashes = _hashed_block(piece, breaks, codes)
-                yield hashes, np.full(len(starts), first), starts + at, ends + at
-                at += len(piece)
+        if last - first == 1 and len(part[0]) > limit:
+            for starts, ends, hashes in _hashed_text(part[0], breaks, codes, limit):
+                yield hashes, np.full(len(starts), first), starts, ends
             continue
         starts, ends, hashes = _hashed_block(b" ".join(part), breaks, codes)
         begins = np.cumsum([0] + [len(x) + 1 for x in part[:-1]])
