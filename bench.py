@@ -15,7 +15,7 @@ from pathledger import search_files
 from pathledger.operators import snapshots, stats
 from pathledger.plans import QUERIES
 from pathledger.session import build_session, fresh_folder
-from pathledger.sources import catalog, scan
+from pathledger.sources import catalog, name_index, scan
 
 HEADLINE = [
     "read_listing_csv", "read_checkpoint_text", "write_catalog", "archive_members", "archives_nested",
@@ -103,9 +103,14 @@ def main():
 
     shelf = fresh_folder(spark, "bench-catalog")
     catalog.write_catalog(curr.selectExpr("*", "substr(path, 1, 2) AS drive"), shelf)
+    start = time.perf_counter()
+    name_index.build_name_index(spark, shelf)
+    built = round(time.perf_counter() - start, 3)
     root, files = tree()
     published = {
         "search_stored_catalog": lambda: search_files("f1234567", catalog=shelf, spark=spark),
+        "search_stored_substring": lambda: search_files("*234*", catalog=shelf, spark=spark),
+        "search_stored_size": lambda: search_files(size=">990000", catalog=shelf, spark=spark),
         "scan_tree": lambda: scan.files_from_scan(scan.walk_files(spark, root), "N:"),
     }
     for name, build in published.items():
@@ -124,6 +129,7 @@ def main():
                 "sf": os.path.basename(sf_dir).removeprefix("sf"),
                 "catalog_rows": rows,
                 "catalog_rows_diffed_per_sec": rate,
+                "name_index_build_sec": built,
                 "scanned_files_per_sec": round(files / timings["scan_tree"]),
             }
         )

@@ -48,7 +48,7 @@ def on_curve(df: DataFrame, columns, keys=(), bits=CURVE_BITS) -> DataFrame:
     ranked = _ranked(df, list(columns), bits)
     place = _interleaved([F.col(f"_rank_{c}") for c in columns], bits).alias("_place")
     placed = ranked.select(*df.columns, place)
-    order = [*keys, "_place", "path"]
+    order = [*keys, "_place", *(["path"] if "path" in df.columns else [])]
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_place")
 
 
@@ -57,10 +57,12 @@ def write_catalog(files: DataFrame, location, mode="append", rows=SHARD_ROWS, cu
 
     Rows of the empty drive name are left out; those without a drive are kept as such. Rows lie
     along a space-filling curve over the columns ``curve``, in small row groups, so that a search
-    by day or size skips most of them. Ranges give each drive few, full files and split a drive
-    that holds most rows. Without ``curve``, files are dealt by size alone, which saves a pass and a sort.
+    by day or size skips most of them; columns that the rows lack take no part. Ranges give each drive
+    few, full files and split a drive that holds most rows. Without ``curve``, files are dealt by
+    size alone, which saves a pass and a sort.
     """
     kept = files.filter("drive IS NULL OR drive <> ''")
+    curve = [column for column in curve if column in files.columns]
     dealt = on_curve(kept, curve, ["drive"]) if curve else kept.hint("rebalance", "drive")
     (
         dealt.write.mode(mode)

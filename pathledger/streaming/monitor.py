@@ -145,7 +145,8 @@ def _first_poll(spark, root):
 
 def _write_base(catalog, root, batch_id, index):
     location = f"{root}/base/{_BATCH}={batch_id}"
-    write_catalog(catalog, location, mode="overwrite")
+    # Written for the next comparison more than for searches, so without the passes for an order.
+    write_catalog(catalog, location, mode="overwrite", curve=())
     if index:
         # Searches take later changes from the deltas, so the index holds until the next base.
         build_name_index(catalog.sparkSession, location)
