@@ -15,7 +15,8 @@ A batch that is repeated after a failure reads only what earlier batches wrote a
 own folders.
 """
 
-from pyspark.errors import AnalysisException
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pathledger.operators.digests import read_tree, tree_diff, write_tree
@@ -68,12 +69,38 @@ def _stored(spark, root, kind, schema=None):
     return spark.read.schema(fields).parquet(f"{root}/{kind}")
 
 
+def _batches(spark, root, kind):
+    """Batch ids of a table's folders, the last one first, from one listing of their names."""
+    files = spark._jvm.org.apache.hadoop.fs
+    folder = files.Path(f"{root}/{kind}")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    # One text of all names, as each name by itself would be a call.
+    found = files.FileUtil.stat2Paths(system.listStatus(folder))
+    names = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(found)
+    return sorted((int(i) for i in re.findall(rf"/{_BATCH}=(-?[0-9]+)[}},]", names)), reverse=True)
+
+
+def _finished(spark, root, kind, before=None):
+    """Batch ids of the finished folders of a table, the last one first; only as many are looked at as are used."""
+    for batch in _batches(spark, root, kind):
+        if batch >= 0 and (before is None or batch < before) and stored_at(spark, f"{root}/{kind}/{_BATCH}={batch}"):
+            yield batch
+
+
 def _latest(spark, root, kind, before=None):
-    """Largest batch id of a small table that has one row per batch; None without one."""
-    table = _stored(spark, root, kind)
-    if before is not None:
-        table = table.filter(F.col(_BATCH) < before)
-    return table.agg(F.max(_BATCH)).first()[0]
+    """Largest finished batch id of a table; None without one."""
+    return next(_finished(spark, root, kind, before), None)
+
+
+def _last_counted(spark, root, before):
+    """(batch id, row) of the last poll that was not stale; its snapshot is the newest."""
+    for batch in _finished(spark, root, "polls", before):
+        row = spark.read.schema(_SCHEMAS["polls"]).parquet(f"{root}/polls/{_BATCH}={batch}").first()
+        if row and row["new"] is not None:
+            return batch, row
+    return None, None
 
 
 def polls(spark: SparkSession, root) -> DataFrame:
@@ -103,8 +130,11 @@ def current_catalog(spark: SparkSession, root, before=None, read_base=read_table
     start = _latest(spark, root, "bases", last + 1)
     base = read_base(spark, f"{root}/base/{_BATCH}={start}")
     columns = T.StructType([*base.schema, T.StructField("op", T.StringType())])
-    deltas = _stored(spark, root, "delta", columns)
-    later = deltas.filter((F.col(_BATCH) > start) & (F.col(_BATCH) <= last))
+    # Only the folders since the base, however many there were before.
+    since = [f"{root}/delta/{_BATCH}={b}" for b in _batches(spark, root, "delta") if start < b <= last]
+    columns = T.StructType([*columns, T.StructField(_BATCH, T.LongType())])
+    reader = spark.read.schema(columns).option("basePath", f"{root}/delta")
+    later = reader.parquet(*since) if since else spark.createDataFrame([], columns)
     row = F.max_by(F.struct(*[c for c in later.columns if c != _BATCH]), _BATCH).alias("row")
     latest = later.groupBy("path").agg(row).select("row.*")
     kept = base.join(latest.select("path"), "path", "left_anti")
@@ -133,16 +163,6 @@ def _write_empty(curr, root):
     _write(curr.limit(0).withColumn("op", F.lit(_UPSERT)), root, "delta", -1)
 
 
-def _first_poll(spark, root):
-    try:
-        polls(spark, root)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return True
-    return False
-
-
 def _write_base(catalog, root, batch_id, index):
     location = f"{root}/base/{_BATCH}={batch_id}"
     # Written for the next comparison more than for searches, so without the passes for an order.
@@ -166,15 +186,13 @@ def _delta(diff, curr):
     return entered.unionByName(gone, allowMissingColumns=True)
 
 
-def _poll_diff(spark, root, batch_id, prev, curr, earlier, verify, digests, work):
+def _poll_diff(spark, root, batch_id, prev, curr, last, verify, digests, work):
     """The stored diff of a poll, and the number of its rows."""
     tree = f"{root}/digests/{_BATCH}={batch_id}"
     if digests:
         write_tree(curr, tree)
-    # Stale polls have no counts, and changed nothing.
-    last = earlier.filter("new IS NOT NULL").agg(F.max(_BATCH)).first()[0] if digests else None
     before = f"{root}/digests/{_BATCH}={last}"
-    if last is None or not stored_at(spark, before):
+    if not digests or last is None or not stored_at(spark, before):
         return stored_diff(prev, curr, hashes=verify, rows=True, folder=work)
     found = tree_diff(prev, curr, read_tree(spark, before), read_tree(spark, tree), hashes=verify, rows=True)
     diff = materialise(found, "diff", work)
@@ -191,12 +209,11 @@ def process_poll(
     newest row holds.
     """
     curr = latest_version(curr.filter("drive IS NULL OR drive <> ''"), "mtime")
-    if _first_poll(spark, root):
+    if not _batches(spark, root, "polls"):
         _write_empty(curr, root)
-    earlier = polls(spark, root).filter(F.col(_BATCH) < batch_id)
-    done = earlier.agg(F.max("snapshot_id").alias("id"), F.coalesce(F.max("completed"), F.lit(0)).alias("n")).first()
-    if done.id is not None and snapshot_id <= done.id:
-        stale = _one_row(spark, _SCHEMAS["polls"], [snapshot_id, None, None, None, None, done.n])
+    last, done = _last_counted(spark, root, batch_id)
+    if done and snapshot_id <= done["snapshot_id"]:
+        stale = _one_row(spark, _SCHEMAS["polls"], [snapshot_id, None, None, None, None, done["completed"]])
         _write(stale, root, "polls", batch_id)
         return
     prev = current_catalog(spark, root, before=batch_id)
@@ -209,7 +226,7 @@ def process_poll(
     else:
         # Intermediate tables of a poll replace those of the poll before.
         work = f"{root}/work"
-        diff, rows = _poll_diff(spark, root, batch_id, prev, curr, earlier, verify, digests, work)
+        diff, rows = _poll_diff(spark, root, batch_id, prev, curr, last, verify, digests, work)
         _write(changes_from_diff(diff, rows, verify, work), root, "changes", batch_id)
         # Only the folder of this poll, however many there are.
         found = spark.read.schema(_SCHEMAS["changes"]).parquet(f"{root}/changes/{_BATCH}={batch_id}")
@@ -229,7 +246,7 @@ def process_poll(
         # At most four rows.
         rows = found.groupBy("change_type").agg(F.count(F.lit(1)).alias("n")).collect()
         counts = {row["change_type"]: row["n"] for row in rows}
-    completed = done.n + 1
+    completed = (done["completed"] if done else 0) + 1
     found = [counts.get(kind, 0) for kind in (NEW, MODIFIED, DELETED, MOVED)]
     summary = _one_row(spark, _SCHEMAS["polls"], [snapshot_id, *found, completed])
     _write(summary, root, "polls", batch_id)

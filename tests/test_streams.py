@@ -188,3 +188,22 @@ def test_late_files_count(spark, tmp_path):
     columns = "window_start", "drive", "files", "errors"
     batch = rates.windowed_counts(scans(spark, [row for part in parts for row in part]))
     assert table(rates.live_rates(spark, root), *columns) == table(batch, *columns)
+
+
+def test_a_poll_reads_as_many_folders_however_many_were_before(spark, tmp_path, monkeypatch):
+    """One poll row, and the deltas since the last base."""
+    root = str(tmp_path)
+    listing = spark.createDataFrame([(f"C:\\{i}", 1, 2, None, False, "C:", "") for i in range(4)], "path string, size bigint, mtime bigint, content_hash string, is_archive boolean, drive string, ext string")
+    read, stored = [], monitor.stored_at
+    monkeypatch.setattr(monitor, "stored_at", lambda session, place: read.append(place) or stored(session, place))
+    looked = []
+    for number in range(7):
+        monitor.process_poll(spark, root, number, number, listing.withColumn("size", F.lit(number).cast("bigint")))
+        if number % 2:
+            monitor.compact(spark, root)
+        looked.append(len(read))
+        read.clear()
+    assert looked[2:4] == looked[4:6] and counts(spark, root)[-1] == (0, 4, 0, 0, 7)
+    files = monitor.current_catalog(spark, root).inputFiles()
+    assert all("base/batch_id=5" in f or "delta/batch_id=6" in f for f in files)
+    assert {r["size"] for r in monitor.current_catalog(spark, root).collect()} == {6}
