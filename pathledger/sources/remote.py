@@ -1,4 +1,4 @@
-"""Opening single files from inside a task, on any file system Arrow knows."""
+"""Single files and directories from inside a task, on any file system Arrow knows."""
 
 import io
 import re
@@ -37,17 +37,49 @@ class _Handle(io.RawIOBase):
         super().close()
 
 
+def _system_at(path):
+    """(file system, path in it, address of its root, path of its root) of a ``scheme://`` address; None for a local path."""
+    address = re.fullmatch(r"(?s)(\w[\w+.-]+)://([^/]*)/?(.*)", path)
+    if not address or path.startswith("file:"):
+        return None
+    scheme, host, rest = address.groups()
+    known = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    system, root = fs.FileSystem.from_uri(f"{known}://{host}/")
+    root = root.rstrip("/")
+    return system, f"{root}/{rest}", f"{scheme}://{host}", root
+
+
+def local_path(path):
+    """A plain path for a ``file:`` address, other paths as they are."""
+    return re.sub(r"^file:(//)?", "", path)
+
+
 def open_for_reading(path):
     """A seekable binary handle on a plain path or a ``scheme:`` address as Spark shows it.
 
     Addresses are taken as they are, without percent decoding.
     """
-    address = re.fullmatch(r"(?s)(\w[\w+.-]+)://([^/]*)/?(.*)", path)
-    if path.startswith("file:"):
-        return open(re.sub(r"^file:(//)?", "", path), "rb")
-    if not address:
-        return open(path, "rb")
-    scheme, host, rest = address.groups()
-    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-    system, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
-    return io.BufferedReader(_Handle(system.open_input_file(f"{root.rstrip('/')}/{rest}")))
+    found = _system_at(path)
+    if found is None:
+        return open(local_path(path), "rb")
+    system, inside, _, _ = found
+    return io.BufferedReader(_Handle(system.open_input_file(inside)))
+
+
+def listed_at(path):
+    """(path, name, is_dir, size, modified in ns) of what lies directly in a ``scheme://`` directory.
+
+    None for a local path. The store's own listing brings size and time along, so no entry is asked for alone.
+    """
+    found = _system_at(path)
+    if found is None:
+        return None
+    system, inside, prefix, root = found
+    entries = system.get_file_info(fs.FileSelector(inside.rstrip("/") or "/"))
+    return (
+        (
+            f"{prefix}/{entry.path[len(root):].lstrip('/')}", entry.base_name, entry.type == fs.FileType.Directory,
+            entry.size, entry.mtime_ns,
+        )
+        for entry in entries
+    )

@@ -1,13 +1,17 @@
 """Files written and read: listings, checkpoints, trees, archives, catalogs."""
 
+import csv
 import datetime
 import gzip
 import hashlib
 import io
 import os
+import random
 import tarfile
 import zipfile
+from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import pyarrow.fs
 import pytest
@@ -18,7 +22,7 @@ from pathledger.functions.paths import is_archive_scan, path_depth
 from pathledger.operators import archives, filters
 from pathledger.plans import fixtures as fx
 from pathledger.schema import ARCHIVE_MEMBERS, FILES
-from pathledger.sources import catalog, checkpoints, listing, scan
+from pathledger.sources import catalog, checkpoints, listing, remote, scan
 from pathledger.sources.archive_members import archive_members, refresh_members
 from pathledger.sources.remote import _Handle
 
@@ -80,6 +84,49 @@ def test_last_listing_row_wins_within_and_across_files(spark, tmp_path):
     assert [(r["path"], r["size"]) for r in rows] == [("C:\\x\\same.txt", 2049)]
 
 
+def test_lines_that_end_inside_quotes(spark):
+    from pathledger.sources.listing import _OPENS, _STAYS
+
+    # Outcome of a line that begins outside and inside quotes.
+    known = {
+        "a,b": (False, True), '"a,b': (True, False), '"a","b': (True, True), '"a",b': (False, False),
+        'a"b,c': (False, False), '"a""b': (True, False), '"a"b"c,"': (True, True), "": (False, True), '"': (True, False), '""': (False, True),
+    }
+    lines = spark.createDataFrame([(k,) for k in known], "value string")
+    rows = lines.select("value", F.col("value").rlike(_OPENS).alias("o"), F.col("value").rlike(_STAYS).alias("s"))
+    assert {r["value"]: (r["o"], r["s"]) for r in rows.collect()} == known
+
+
+def test_names_with_line_breaks_across_splits(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for number in range(60):
+        middle = "".join(rng.choice(['"', "\n", ",", "x", "\n\n", ' "', "é"]) for _ in range(rng.randrange(6)))
+        rows.append([f"{number}{middle}.md", "C:\\d", str(number), "5", "6", "7"])
+    text = io.StringIO()
+    csv.writer(text).writerows(rows)
+    for part in ("a", "b"):
+        (tmp_path / f"{part}.csv").write_bytes(HEADER + text.getvalue().replace("C:", f"{part}:").encode())
+    plain = [[*row] for row in csv.reader(io.StringIO(text.getvalue().replace("\r\n", "\n")))]
+    wanted = sorted([row[0], f"{part}:\\d", *row[2:]] for part in "ab" for row in plain)
+    assert any("\n" in row[0] and '"' in row[0] for row in wanted)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for size in (37, 38, 211, 100_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            found = listing.read_raw_listing(spark, str(tmp_path)).drop("_row_order").collect()
+            assert sorted(list(r) for r in found) == wanted, size
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_quote_that_is_never_closed_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "ROW_LIMIT", 100)
+    (tmp_path / "l.csv").write_bytes(HEADER + b'"open,C:\\x,1,2,3,4\r\n' + b"a,C:\\x,1,2,3,4\r\n" * 10)
+    with pytest.raises(ValueError, match="not closed"):
+        listing.read_raw_listing(spark, str(tmp_path))
+
+
 def test_listing_round_trip(spark, tmp_path):
     raw = spark.createDataFrame(
         [('a "b", c.zip', "C:\\x", "5", "6", "7", "8"), ("é.py", "D:\\y\\", "1", "2", "3", "4")],
@@ -175,6 +222,41 @@ def test_walk_reports_what_it_cannot_read(spark, tree):
     assert [row["path"] for row in errors] == ["/no/such/root"]
 
 
+def test_names_of_a_hot_directory_are_dealt_to_many_tasks(spark, tmp_path):
+    hot = tmp_path / "tree" / "hot"
+    hot.mkdir(parents=True)
+    for number in range(3000):
+        (hot / f"f{number}").touch()
+    store = str(tmp_path / "store")
+    found = scan.walk_files(spark, f"file://{tmp_path}/tree", store=store)
+    assert found.count() == 3000 and found.filter("size = 0 AND mtime IS NOT NULL AND ctime IS NOT NULL").count() == 3000
+    files = spark.read.parquet(f"{store}/level=1").groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 4 and max(r["count"] for r in files) < 1000
+
+
+def test_walk_of_an_address(tree, monkeypatch):
+    """The entries of a store that only an address reaches, level by level."""
+    local = pyarrow.fs.LocalFileSystem()
+    arrow = SimpleNamespace(**{n: getattr(pyarrow.fs, n) for n in ("FileSelector", "FileType")})
+    arrow.FileSystem = SimpleNamespace(from_uri=lambda uri: (local, f"{tree}/"))
+    monkeypatch.setattr(remote, "fs", arrow)
+    seen, waiting = {}, ["s3a://bucket"]
+    while waiting:
+        listed = list(scan._names(waiting.pop()))
+        rows = [dict(zip(scan._COLUMNS, row)) for row in listed]
+        assert [scan._measured(row) for row in rows] == rows
+        waiting += [row[0] for row in listed if row[2]]
+        seen.update({row[0]: row[3] for row in listed if not row[2]})
+    assert {p: s for p, s in seen.items() if "link" not in p} == {
+        "s3a://bucket/a.txt": 5, "s3a://bucket/.dot": 4, "s3a://bucket/_low": 4, "s3a://bucket/sub/b.LOG": 9,
+        "s3a://bucket/sub/deep/c.py": 13, "s3a://bucket/$bin/d": 6, "s3a://bucket/.git/e": 6, "s3a://bucket/sub/empty.txt": 0,
+    }
+    with remote.open_for_reading("s3a://bucket/sub/b.LOG") as handle:
+        assert handle.read() == b"sub/b.LOG"
+    gone = list(scan._names("s3a://bucket/none"))
+    assert [row[0] for row in gone] == ["s3a://bucket/none"] and gone[0][-1]
+
+
 def test_scan_of_two_roots(spark, tree):
     found = scan.scan_files(spark, str(tree / "sub"), str(tree / "$bin"))
     assert sorted(os.path.basename(r["path"]) for r in found.collect()) == ["b.LOG", "c.py", "d"]
@@ -311,6 +393,34 @@ def test_contents_that_differ_in_the_middle_differ(spark, tmp_path):
     assert walked.select(content.smart_hash_at("path", "size")).distinct().count() == 1
 
 
+def test_only_files_that_may_have_a_copy_are_read(spark, tmp_path):
+    sizes = [*range(20_000, 20_030), *[30_000] * 30, *[5_000] * 30]
+    wanted = {}
+    for number, size in enumerate(sizes):
+        data = bytearray(random.Random(number).randbytes(size) if number % 3 else b"s" * size)
+        if size == 30_000 and number % 6 == 0:
+            data[6_000] = number  # Outside of the sample.
+        path = tmp_path / f"f{number}"
+        path.write_bytes(data)
+        wanted[str(path)] = hashlib.md5(data).hexdigest()
+    results = scan.walk_files(spark, str(tmp_path))
+    for number in range(30):
+        (tmp_path / f"f{number}").unlink()  # Alone in their size, so nobody misses them.
+    rows = {r["path"]: r for r in scan.content_classes(results).collect()}
+    assert len(rows) == 90
+    unopened = {p for p, r in rows.items() if r["sample_hash"] is None}
+    assert unopened == {str(tmp_path / f"f{n}") for n in range(30)}
+    # Of the files of one size only those of equal samples are read whole.
+    whole = {p for p, r in rows.items() if r["content_hash"] is not None}
+    assert whole == {str(tmp_path / f"f{n}") for n in range(30, 90) if n % 3 == 0}
+    assert all(rows[p]["content_hash"] == wanted[p] for p in whole)
+    counts = Counter(wanted.values())
+    found = scan.duplicates_from_scan(results).collect()
+    assert {(r["path"], r["content_hash"], r["copies"]) for r in found} == {
+        (p, h, counts[h]) for p, h in wanted.items() if counts[h] > 1
+    }
+
+
 def test_a_root_given_twice_or_below_another_is_walked_once(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "f.txt").write_text("f")
