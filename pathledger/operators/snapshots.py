@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pathledger.functions.paths import base_name
 from pathledger.operators.spread import lookup, numbered
+from pathledger.operators.stats import added_totals, signed_totals
 from pathledger.session import materialise
 
 NEW, DELETED, MODIFIED, MOVED = "new", "deleted", "modified", "moved"
@@ -18,6 +19,8 @@ NAME_SIZE_REASON = "same_name_and_size"
 
 # What a comparison looks at.
 _COMPARED = ["path", "size", "mtime"]
+# What statistics count beside sizes.
+_COUNTED = ["drive", "is_archive"]
 
 
 def new_files(prev: DataFrame, curr: DataFrame) -> DataFrame:
@@ -52,13 +55,15 @@ def snapshot_diff(prev: DataFrame, curr: DataFrame, hashes=True, rows=False) ->
 
     ``size``, ``mtime`` and ``content_hash`` come from the snapshot that has the path, the current
     one first. Without ``hashes`` the last is NULL and the join carries no hash. With ``rows``, a
-    struct ``rest`` holds the other columns of new and modified rows.
+    struct ``rest`` holds the other columns of new and modified rows, and ``was`` what the totals
+    need of deleted and modified rows as they were.
     """
     content_hash = F.col("content_hash") if hashes else F.lit(None).cast("string")
     # The marker tells a missing row from a row with NULL columns.
     columns = [*_COMPARED, content_hash.alias("content_hash"), F.lit(True).alias("there")]
     rest = [F.struct(*_rest(curr)).alias("rest")] if rows else []
-    p, c = prev.select(*columns).alias("p"), curr.select(*columns, *rest).alias("c")
+    was = [F.struct("size", *(n for n in _COUNTED if n in prev.columns)).alias("was")] if rows else []
+    p, c = prev.select(*columns, *was).alias("p"), curr.select(*columns, *rest).alias("c")
     change = (
         F.when(F.col("p.there").isNull(), NEW)
         .when(F.col("c.there").isNull(), DELETED)
@@ -75,7 +80,7 @@ def snapshot_diff(prev: DataFrame, curr: DataFrame, hashes=True, rows=False) ->
             F.when(present, F.col("c.content_hash"))
             .otherwise(F.col("p.content_hash"))
             .alias("content_hash"),
-            *(["rest"] if rows else []),
+            *(["rest", "was"] if rows else []),
         )
         .filter(F.col("change_type").isNotNull())
     )
@@ -91,6 +96,13 @@ def rows_of_diff(diff: DataFrame, curr: DataFrame) -> DataFrame:
     return entering.select(*_COMPARED, "rest.*").select(*curr.columns)
 
 
+def totals_of_diff(diff: DataFrame, curr: DataFrame) -> DataFrame:
+    """What a ``snapshot_diff`` with ``rows`` adds to the totals per drive, see ``stats.added_totals``."""
+    came = signed_totals(rows_of_diff(diff, curr), 1)
+    went = diff.filter(F.col("change_type").isin(DELETED, MODIFIED)).select("was.*")
+    return came.unionByName(signed_totals(went, -1))
+
+
 def stored_diff(prev: DataFrame, curr: DataFrame, hashes=True, rows=False, folder=None):
     """The rows of ``snapshot_diff`` as a stored table, and their number from its footers."""
     diff = materialise(snapshot_diff(prev, curr, hashes, rows), "diff", folder)

@@ -1,6 +1,8 @@
 """Counts, totals and rates. All of them combine before the shuffle."""
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pathledger.functions.values import rate
 from pathledger.operators.spread import group_sizes
@@ -22,11 +24,41 @@ def drive_stats(files: DataFrame) -> DataFrame:
     )
 
 
+def signed_totals(rows: DataFrame, sign) -> DataFrame:
+    """What the rows add to the totals per drive: files, archives, files of a known size, bytes.
+
+    ``sign`` is a column or number, 1 for rows that came and -1 for rows that went.
+    """
+    sign = sign if isinstance(sign, Column) else F.lit(sign)
+    return (
+        rows.filter(F.col("drive") != "")
+        .groupBy("drive")
+        .agg(
+            F.sum(sign).cast("bigint").alias("files"),
+            F.coalesce(F.sum(F.when(F.col("is_archive"), sign)), F.lit(0)).cast("bigint").alias("archives"),
+            F.coalesce(F.sum(F.when(F.col("size").isNotNull(), sign)), F.lit(0)).cast("bigint").alias("sized"),
+            F.coalesce(F.sum(F.col("size") * sign), F.lit(0)).cast("bigint").alias("bytes"),
+        )
+    )
+
+
+def added_totals(*totals: DataFrame) -> DataFrame:
+    """The sum of several ``signed_totals``; a drive without files has no row."""
+    every = reduce(DataFrame.unionByName, totals)
+    sums = [F.sum(name).alias(name) for name in ("files", "archives", "sized", "bytes")]
+    return every.groupBy("drive").agg(*sums).filter("files <> 0")
+
+
 def total_stats(files: DataFrame) -> DataFrame:
     """The same per drive and, as drive ``ALL``, over all drives."""
+    return with_all(drive_stats(files))
+
+
+def with_all(stats: DataFrame) -> DataFrame:
+    """``drive_stats`` with a row ``ALL`` of their sums."""
     # The rollup runs over one row per drive; over the files it would double every row.
     sums = [F.sum(name).alias(name) for name in ("files", "archives", "bytes")]
-    totals = drive_stats(files).rollup("drive").agg(F.grouping_id().alias("level"), *sums)
+    totals = stats.rollup("drive").agg(F.grouping_id().alias("level"), *sums)
     drive = F.when(F.col("level") == 1, ALL).otherwise(F.col("drive"))
     return totals.withColumn("drive", drive).drop("level")
 

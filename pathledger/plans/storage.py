@@ -95,6 +95,25 @@ def read_listing_csv(spark, sf_dir):
     return listing.read_listing_csv(spark, _written_listing(spark, sf_dir))
 
 
+@query(
+    """
+    SELECT CAST(doc_id AS BIGINT) AS size, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS name_md5
+    FROM documents WHERE text IS NOT NULL
+    """
+)
+def listing_line_breaks(spark, sf_dir):
+    """A listing whose names are whole texts, with their line breaks, commas and quotes."""
+    documents = fx.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    zero = [F.lit("0").alias(name) for name in ("mtime", "ctime", "attributes")]
+    place = F.concat(F.lit("D:\\"), F.coalesce("source", F.lit(""))).alias("directory")
+    location = fresh_folder(spark, "listing")
+    listing.write_listing_csv(
+        documents.select(F.col("text").alias("name"), place, F.col("doc_id").cast("string").alias("size"), *zero), location
+    )
+    raw = listing.read_raw_listing(spark, location)
+    return raw.select(F.col("size").cast("bigint").alias("size"), F.md5(F.col("name").cast("binary")).alias("name_md5"))
+
+
 def _written_checkpoint(spark, sf_dir):
     location = fresh_folder(spark, "checkpoint-text")
     checkpoints.write_checkpoint_text(fx.scan_results(fx.table(spark, sf_dir, "events")), location)
@@ -167,6 +186,23 @@ def walk_files(spark, sf_dir):
     return _tree_rows(found, F.col("ext"))
 
 
+@query(
+    """
+    SELECT doc_id, md5(text || chr(10)) AS content_hash, copies
+    FROM (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL)
+    WHERE copies > 1
+    """
+)
+def duplicates_from_scan(spark, sf_dir):
+    """Copies among files of one document each, found by opening only files that may have one."""
+    location = fresh_folder(spark, "tree")
+    documents = fx.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    documents.select(F.col("doc_id").alias("doc"), "text").write.partitionBy("doc").text(location)
+    found = scan.duplicates_from_scan(scan.walk_files(spark, location).filter(F.col("ext") == ".txt"))
+    doc_id = F.regexp_extract("path", "/doc=([0-9]+)/[^/]*$", 1).cast("bigint")
+    return found.select(doc_id.alias("doc_id"), "content_hash", "copies")
+
+
 @query(fx.with_tables("SELECT * FROM files"))
 def write_catalog(spark, sf_dir):
     location = fresh_folder(spark, "catalog")

@@ -40,6 +40,20 @@ def stream_apply_changes(spark, sf_dir):
     return monitor.current_catalog(spark, _polled(spark, sf_dir))
 
 
+@query(
+    _sql(
+        """
+        SELECT coalesce(drive, 'ALL') AS drive, count(*) AS files, count(*) FILTER (is_archive) AS archives,
+          CAST(sum(size) AS BIGINT) AS bytes
+        FROM files WHERE path IN (SELECT path FROM curr) GROUP BY ROLLUP (drive)
+        """
+    )
+)
+def stream_totals(spark, sf_dir):
+    """Totals after two polls, kept by adding what changed."""
+    return monitor.current_totals(spark, _polled(spark, sf_dir))
+
+
 @query(
     _sql("SELECT old_path, new_path, CAST(0.9 AS DOUBLE) AS confidence, CAST(1 AS BIGINT) AS batch_id FROM moves")
 )

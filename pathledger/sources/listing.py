@@ -178,4 +178,7 @@ def read_listing_csv(spark: SparkSession, location) -> DataFrame:
 
 def write_listing_csv(raw: DataFrame, location):
     """Write text fields as listing files that ``read_listing_csv`` reads."""
-    raw.select(*_TEXT).write.option("header", True).option("escape", '"').csv(location)
+    writer = raw.select(*_TEXT).write.option("header", True).option("escape", '"')
+    # Blanks at the ends of a name are part of it.
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer.options(**blanks).csv(location)

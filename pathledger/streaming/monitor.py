@@ -9,6 +9,7 @@ listing with the stored catalog and writes tables below one folder:
 - ``delta/batch_id=N``: changed catalog rows of poll N, ``op`` is ``upsert`` or ``delete``
 - ``changes/batch_id=N``, ``move_history/batch_id=N``: what poll N found
 - ``digests/batch_id=N``: the digest tree of listing N, where the monitor compares by digests
+- ``totals/batch_id=N``: files, archives and bytes per drive after poll N, those before it plus what it changed
 - ``polls/batch_id=N``: counts of poll N, written last, so that it marks the poll as complete
 
 A batch that is repeated after a failure reads only what earlier batches wrote and overwrites its
@@ -29,7 +30,9 @@ from pathledger.operators.snapshots import (
     changes_from_diff,
     rows_of_diff,
     stored_diff,
+    totals_of_diff,
 )
+from pathledger.operators.stats import added_totals, signed_totals, with_all
 from pathledger.schema import POLL_SECONDS, SNAPSHOT_MANIFEST
 from pathledger.session import materialise, stored_at
 from pathledger.sources.catalog import read_table, write_catalog
@@ -43,6 +46,7 @@ _SCHEMAS = {
     "polls": "snapshot_id long, new long, modified long, deleted long, moved long, completed long",
     "bases": "kind string",
     "changes": "path string, change_type string, old_path string, confidence double",
+    "totals": "drive string, files long, archives long, sized long, bytes long",
     "move_history": "old_path string, new_path string, confidence double, detected_at timestamp",
 }
 
@@ -118,6 +122,23 @@ def move_history(spark: SparkSession, root) -> DataFrame:
     return _stored(spark, root, "move_history")
 
 
+def _totals(spark, root, batch):
+    """The stored totals after a poll; None if it stored none."""
+    location = f"{root}/totals/{_BATCH}={batch}"
+    if batch is None or not stored_at(spark, location):
+        return None
+    return spark.read.schema(_SCHEMAS["totals"]).parquet(location)
+
+
+def current_totals(spark: SparkSession, root) -> DataFrame:
+    """``stats.total_stats`` of the current catalog, from the totals that the last poll stored."""
+    stored = _totals(spark, root, _last_counted(spark, root, None)[0])
+    if stored is None:
+        return None
+    size = F.when(F.col("sized") > 0, F.col("bytes")).alias("bytes")
+    return with_all(stored.select("drive", "files", "archives", size))
+
+
 def current_catalog(spark: SparkSession, root, before=None, read_base=read_table) -> DataFrame:
     """The catalog after the last completed poll, or after the polls before ``before``.
 
@@ -223,6 +244,7 @@ def process_poll(
         if digests:
             write_tree(curr, f"{root}/digests/{_BATCH}={batch_id}")
         _write_base(curr, root, batch_id, index)
+        totals = [signed_totals(curr, 1)]
     else:
         # Intermediate tables of a poll replace those of the poll before.
         work = f"{root}/work"
@@ -243,9 +265,14 @@ def process_poll(
             batch_id,
         )
         _write(_delta(diff, curr), root, "delta", batch_id)
+        # Totals follow the changes alone; only a monitor that has none yet counts the catalog.
+        before = _totals(spark, root, last)
+        totals = [signed_totals(prev, 1) if before is None else before, totals_of_diff(diff, curr)]
         # At most four rows.
         rows = found.groupBy("change_type").agg(F.count(F.lit(1)).alias("n")).collect()
         counts = {row["change_type"]: row["n"] for row in rows}
+    # One row per drive.
+    _write(added_totals(*totals).coalesce(1), root, "totals", batch_id)
     completed = (done["completed"] if done else 0) + 1
     found = [counts.get(kind, 0) for kind in (NEW, MODIFIED, DELETED, MOVED)]
     summary = _one_row(spark, _SCHEMAS["polls"], [snapshot_id, *found, completed])

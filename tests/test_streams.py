@@ -1,9 +1,11 @@
 """The monitor and the live rates, with stops, repeats and late rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from pathledger.operators import snapshots as ops
+from pathledger.operators import snapshots as ops, stats
 from pathledger.plans import fixtures as fx
 from pathledger.streaming import monitor, rates
 
@@ -207,3 +209,27 @@ def test_a_poll_reads_as_many_folders_however_many_were_before(spark, tmp_path,
     files = monitor.current_catalog(spark, root).inputFiles()
     assert all("base/batch_id=5" in f or "delta/batch_id=6" in f for f in files)
     assert {r["size"] for r in monitor.current_catalog(spark, root).collect()} == {6}
+
+
+def test_totals_follow_the_changes(spark, tmp_path, monkeypatch):
+    """Random polls, stale ones, sizes that are missing, drives that come and go."""
+    rng, root, files, seen = random.Random(3), str(tmp_path), {}, []
+    counted = monitor.signed_totals
+    monkeypatch.setattr(monitor, "signed_totals", lambda rows, sign: seen.append(1) or counted(rows, sign))
+    for poll in range(12):
+        for _ in range(4 if poll else 12):
+            path = f"p{rng.randrange(16)}"
+            drive = rng.choice(["C:", "D:", "E:", None])
+            files[path] = (path, rng.choice([None, 3, 5, 2**40]), poll, rng.random() < 0.5, drive)
+            files.pop(f"p{rng.randrange(16)}", None)
+        listed = spark.createDataFrame(list(files.values()), "path string, size long, mtime long, is_archive boolean, drive string")
+        listed = listed.withColumn("content_hash", F.lit(None).cast("string")).coalesce(1)
+        stale = poll in (4, 9)
+        monitor.process_poll(spark, root, poll, 0 if stale else poll + 1, listed)
+        if poll in (0, 3, 6, 9, 11):
+            catalog = monitor.current_catalog(spark, root)
+            assert table(monitor.current_totals(spark, root), "drive", "files", "archives", "bytes") == table(
+                stats.total_stats(catalog), "drive", "files", "archives", "bytes"
+            )
+    # The catalog was counted once, for the first poll.
+    assert len(seen) == 1
