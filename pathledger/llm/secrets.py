@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from pathledger.session import materialise
 
-# A candidate is a run of these characters in a word, this long or longer, with a digit in it.
+# One kind of candidate is a run of these characters in a word, this long or longer, with a digit in it.
 LEAST = 16
 _RUN = f"[A-Za-z0-9+/_-]{{{LEAST},}}"
 _NAMES = "(?i)(pass|pwd|secret|token|api.?key|access|auth|credential|private)"
 _KNOWN = "^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk_(live|test)_|^glpat-"
-# A word counts as a dictionary word if the corpus has it this often.
-DICTIONARY_COUNT = 20
+# The other kind is a value of 8 characters or more given to one of these names, quoted or not of letters alone.
+_GIVEN_NAMES = "(?i)(password|passwd|pwd|secret|token|api.?key|credential|(private|access|auth).?key)[\\w\\]\"')-]*"
+_GIVEN_HERE = f"{_GIVEN_NAMES}[=:]"
+_GIVEN_BEFORE = f"{_GIVEN_NAMES} ?[=:]+$"
+_GIVEN = "^((?>(?:[^=:]*[=:]++(?=.))?)[\"'(\\[{]*)(?!//)([^\"']{8,}?)(?:[)\\]},;.]*|[\"'].*)$"
+# A word counts as a dictionary word if this share of the distinct texts has it, whatever their number.
+DICTIONARY_SHARE = 0.001
 MAX_LABELLED = 20_000
 
 FEATURES = (
@@ -34,16 +39,28 @@ def candidates(docs: DataFrame, doc_id="doc_id", text="text", path="source") ->
 
     ``word_no`` counts the words of the text from 0. Each run of a word with a digit in it counts,
     repeats too; ``head`` is what stands before it in the word, from the candidate before on if
-    there is one. Null and empty texts have none; neighbours beyond an end of the text are ''.
+    there is one. A word without such runs has one where it gives a value to a name such as token, in the word itself
+    or in the two before: shorter values and those of letters alone, the latter in quotes. Null and empty texts have none; neighbours beyond an end of the text are ''.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), _words(F.col(text)).alias("words"))
 
     def suspicious(w):
         return (F.length(w) >= LEAST) & w.rlike(_RUN) & w.rlike("[0-9]")
 
+    def given(word, before2, before):
+        """Whether the word holds a value given to a name, in it or in the two words before."""
+        value, head = F.regexp_extract(word, _GIVEN, 2), F.regexp_extract(word, _GIVEN, 1)
+        # Letters alone are a value only in quotes; a word that itself ends in a sign names the next one.
+        shaped = (F.length(value) >= 8) & (~value.rlike("^[A-Za-z]*[=:]*$") | head.rlike("[\"']$"))
+        return shaped & (head.rlike(_GIVEN_HERE) | F.concat_ws(" ", before2, before).rlike(_GIVEN_BEFORE))
+
+    def given_at(i):
+        return given(*[F.get("words", i + k) for k in (0, -2, -1)])
+
     # Most texts have none, and are done after this one look at their words.
-    words = words.filter(F.exists("words", suspicious))
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: suspicious(F.get("words", i)))
+    words = words.filter(F.exists("words", lambda w: suspicious(w) | w.rlike(_GIVEN_NAMES)))
+    every = F.sequence(F.lit(0), F.size("words") - 1)
+    places = F.filter(every, lambda i: suspicious(F.get("words", i)) | given_at(i))
     near = {"word": 0, "before2": -2, "before": -1, "after": 1}
     found = words.select("doc_id", "path", "words", F.explode(places).alias("word_no"))
     sides = [F.coalesce(F.get("words", F.col("word_no") + k), F.lit("")).alias(n) for n, k in near.items()]
@@ -52,7 +69,7 @@ def candidates(docs: DataFrame, doc_id="doc_id", text="text", path="source") ->
     found = found.withColumn("runs", F.regexp_extract_all("word", F.lit(_RUN), F.lit(0)))
     found = found.withColumn("gaps", F.split("word", _RUN, -1))
     digits = F.filter(F.sequence(F.lit(0), F.size("runs") - 1), lambda i: F.get("runs", i).rlike("[0-9]"))
-    found = found.filter(F.size("runs") > 0).withColumn("own", digits)
+    found = found.withColumn("own", F.when(F.size("runs") > 0, digits).otherwise(F.array().cast("array<int>")))
     parts = F.flatten(F.transform("gaps", lambda gap, i: F.array(gap, F.coalesce(F.get("runs", i), F.lit("")))))
     found = found.withColumn("parts", parts)
 
@@ -62,7 +79,11 @@ def candidates(docs: DataFrame, doc_id="doc_id", text="text", path="source") ->
         head = F.array_join(F.slice("parts", start, 2 * i + 2 - start), "")
         return F.struct(F.get("runs", i).alias("value"), head.alias("head"))
 
-    found = found.withColumn("one", F.explode(F.transform("own", candidate)))
+    # Words without a run of the first kind are here for the value that they give.
+    value, head = (F.regexp_extract("word", _GIVEN, k) for k in (2, 1))
+    whole = F.array(F.struct(value.alias("value"), head.alias("head")))
+    own = F.when(F.size("own") > 0, F.transform("own", candidate)).otherwise(F.when(given("word", "before2", "before"), whole))
+    found = found.withColumn("one", F.explode(own))
     return found.select("doc_id", "path", "word_no", "before2", "before", "after", "one.value", "one.head")
 
 
@@ -71,22 +92,26 @@ def _chunks(value):
 
 
 def dictionary(docs: DataFrame, found: DataFrame, text="text") -> DataFrame:
-    """(chunk, n): how often the corpus has the letter runs of the candidates as words of their own.
+    """(chunk, share): in what share of the distinct texts the letter runs of the candidates are words of their own.
 
-    All documents are counted. Counts combine before the shuffle, and only words that some candidate contains get
-    that far.
+    All documents are read, and copies count once, so twice the corpus gives the same dictionary. The numbers
+    of texts are HyperLogLog estimates (5 %), which combine before the shuffle; only words that some
+    candidate contains get that far.
     """
     chunks = materialise(found.select(F.explode(_chunks(F.col("value"))).alias("chunk")).distinct(), "chunks")
-    words = docs.select(F.explode(_words(F.col(text))).alias("word"))
-    words = words.filter(F.length("word").between(3, 40))
-    words = words.select(F.lower(F.regexp_replace("word", "^[^A-Za-z]+|[^A-Za-z]+$", "")).alias("chunk"))
-    return words.join(chunks, "chunk").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    content = F.xxhash64(F.col(text)).alias("content")
+    texts = docs.select(content).agg(F.approx_count_distinct("content")).first()[0]
+    words = docs.select(content, F.explode(_words(F.col(text))).alias("word")).filter(F.length("word") >= 3)
+    # A word with digits at its ends is no word, else a value would stand for its own letters.
+    words = words.select("content", F.lower(F.regexp_replace("word", "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")).alias("chunk"))
+    share = F.approx_count_distinct("content") / F.lit(max(1, texts))
+    return words.join(chunks, "chunk").groupBy("chunk").agg(share.alias("share"))
 
 
 def features(found: DataFrame, known: DataFrame) -> DataFrame:
     """``found`` with the FEATURES of each candidate, all doubles. ``known``: see ``dictionary``."""
     value = F.col("value")
-    good = known.filter(F.col("n") >= DICTIONARY_COUNT).select("chunk")
+    good = known.filter(F.col("share") >= DICTIONARY_SHARE).select("chunk")
     # Per distinct value: the letters that stand in dictionary words.
     parts = found.select("value", F.explode(F.array_distinct(_chunks(value))).alias("chunk"))
     parts = parts.distinct().join(good, "chunk")

@@ -60,3 +60,29 @@ def test_secrets_by_long_names_and_two_in_a_word_are_found(spark, documents, pro
     found = [(r.doc_id, r.value) for r in secrets.scan(documents(true + false + pairs)).collect() if r.secret]
     assert {i for i, _ in found} == {i for i, _ in true + pairs}
     assert sum(i >= 500 for i, _ in found) == 40
+
+
+def test_short_values_and_phrases_given_to_a_name_are_found(spark, documents, prose):
+    true, false = rows_of(prose)
+    given = {
+        600: "password = hunter2hunter2", 601: 'DB_PASSWORD="correcthorsebatterystaple"', 602: "token: Xk9$mQ2!vL7@pR4#",
+        603: "{'api_key':'s3cr3t!9x'}",
+    }
+    plain = {700: "the token: nothing here", 701: "a password is required", 702: "password: https://example.com/reset", 703: "token = short1"}
+    rows = [(i, f"{prose(i)} {words} {prose(i + 1)}") for i, words in (given | plain).items()]
+    values = {(r.doc_id, r.value) for r in secrets.candidates(documents(rows)).collect()}
+    assert values == {
+        (600, "hunter2hunter2"), (601, "correcthorsebatterystaple"), (602, "Xk9$mQ2!vL7@pR4#"), (603, "s3cr3t!9x"),
+    }
+    found = secrets.scan(documents(true + false + rows)).collect()
+    assert {r.doc_id for r in found if r.secret} == {i for i, _ in true} | set(given)
+
+
+def test_twice_the_corpus_gives_the_same_findings(spark, documents, prose):
+    true, false = rows_of(prose)
+    rows = true + false + [(800 + i, f"{prose(i)} quick-brown-fox-release-{2000 + i} {prose(i)} quick brown fox release") for i in range(8)]
+    columns = ["doc_id", "value", *secrets.FEATURES, "secret"]
+    once = sorted(tuple(r[c] for c in columns) for r in secrets.scan(documents(rows)).collect())
+    twice = sorted(tuple(r[c] for c in columns) for r in secrets.scan(documents(rows + rows)).collect())
+    assert twice == sorted(once + once)
+    assert all(r[2 + secrets.FEATURES.index("coverage")] > 0.5 for r in once if r[0] >= 800)
