@@ -12,9 +12,10 @@ from pathledger.operators import snapshots as ops
 from pathledger.plans import fixtures as fx
 from pathledger.plans.registry import query
 from pathledger.plans.snapshots import change_sql
-from pathledger.session import fresh_folder
+from pathledger.session import fresh_folder, materialise
 from pathledger.sources import catalog, checkpoints, listing, scan
 from pathledger.sources.archive_members import archive_members as list_members
+from pathledger.sources.remote import open_for_writing
 
 # Listing rows: short, long, with quoted comma and quote, without directory, with an empty last
 # field, with a date that is no number, and rows that repeat one path.
@@ -311,3 +312,38 @@ def archive_members(spark, sf_dir):
         "file_type",
         F.col("error").isNotNull().alias("damaged"),
     )
+
+
+def _shelver(folder):
+    """Writes the texts of a batch of documents as members of one zip in the shared folder."""
+
+    def shelve(rows):
+        rows, out = rows.sort_values("doc_id"), io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for number, text in zip(rows["doc_id"], rows["text"]):
+                info = zipfile.ZipInfo(f"{number}/PK\x01\x02/{'n' * int(number % 90)}.txt", (2024, 1, 2, 3, 4, 6))
+                archive.writestr(info, (text or "").encode())
+        path = f"{folder}/{rows['shelf'].iloc[0]}.zip"
+        with open_for_writing(path) as handle:
+            handle.write(out.getvalue())
+        return pd.DataFrame({"path": [path], "size": [len(out.getvalue())]})
+
+    return shelve
+
+
+@query(
+    """
+    SELECT doc_id // 200 AS shelf, row_number() OVER (PARTITION BY doc_id // 200 ORDER BY doc_id) - 1 AS member_no,
+      doc_id || '/PK' || chr(1) || chr(2) || '/' || repeat('n', CAST(doc_id % 90 AS INTEGER)) || '.txt' AS internal_path,
+      CAST(strlen(coalesce(text, '')) AS BIGINT) AS uncompressed_size
+    FROM documents
+    """
+)
+def archive_directories(spark, sf_dir):
+    """Members of zip files at paths, their directories read in ranges by several tasks."""
+    documents = fx.table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 200).alias("shelf"))
+    shelver = _shelver(fresh_folder(spark, "shelf"))
+    shelves = materialise(documents.groupBy("shelf").applyInPandas(shelver, "path string, size bigint"), "shelves")
+    members = list_members(shelves, range_bytes=1 << 12)
+    shelf = F.regexp_extract("archive_path", r"(\d+)[.]zip$", 1).cast("bigint")
+    return members.select(shelf.alias("shelf"), "member_no", "internal_path", "uncompressed_size")

@@ -66,6 +66,14 @@ def open_for_reading(path):
     return io.BufferedReader(_Handle(system.open_input_file(inside)))
 
 
+def open_for_writing(path):
+    """A binary handle that writes a new file at a plain path or an address; directories are made."""
+    found = _system_at(path)
+    system, inside = (fs.LocalFileSystem(), local_path(path)) if found is None else found[:2]
+    system.create_dir(inside.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(inside)
+
+
 def listed_at(path):
     """(path, name, is_dir, size, modified in ns) of what lies directly in a ``scheme://`` directory.
 

@@ -493,6 +493,58 @@ def test_many_members_cross_batches(spark, tmp_path):
     ).isEmpty()
 
 
+def directory_cases(tmp_path):
+    """Zip files whose directories hold names and comments that look like entries, and damaged ones."""
+    plain = zip_bytes([(f"d{i}/" if i % 5 == 0 else f"m{i}.txt", b"") for i in range(300)])
+    named = zip_bytes([(f"{i}PK\x01\x02{'PK' * (i % 40)}\x01\x02", b"") for i in range(120)])
+    inner = zip_bytes([(f"in{i}", b"") for i in range(4)])
+    fake = inner[inner.index(b"PK\x01\x02") : inner.rindex(b"PK\x05\x06")]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for i in range(60):
+            info = zipfile.ZipInfo(f"x{i}")
+            info.comment = fake
+            archive.writestr(info, b"")
+        archive.comment = b"a comment"
+    files = {"plain": plain, "named": named, "entries": out.getvalue(), "prefixed": b"#!run\n" + plain}
+    at = plain.index(b"PK\x01\x02", plain.rindex(b"PK\x01\x02") - 2000)
+    files["broken"] = plain[:at] + b"PX" + plain[at + 2 :]
+    for name, data in files.items():
+        (tmp_path / f"{name}.zip").write_bytes(data)
+    return spark_rows(tmp_path)
+
+
+def spark_rows(folder):
+    return [(str(p), p.stat().st_size) for p in sorted(folder.iterdir())]
+
+
+def test_directories_in_ranges_equal_those_read_whole(spark, tmp_path):
+    listed = directory_cases(tmp_path)
+    files = spark.createDataFrame([*listed, listed[-1]], "path string, size long")
+    whole = sorted(archive_members(files).collect(), key=str)
+    assert {r.archive_path.rpartition("/")[2] for r in whole if r.error} == {"broken.zip"}
+    for step in (50, 173, 1000, 4096):
+        assert sorted(archive_members(files, range_bytes=step).collect(), key=str) == whole
+    assert sorted(archive_members(files.drop("size"), range_bytes=700).collect(), key=str) == whole
+
+
+def test_ranges_of_a_directory_are_many_tasks(spark, tmp_path):
+    (tmp_path / "big.zip").write_bytes(zip_bytes([(f"member{i}", b"") for i in range(30_000)]))
+    files = spark.createDataFrame(spark_rows(tmp_path), "path string, size long")
+    members = archive_members(files, range_bytes=1 << 16).withColumn("task", F.spark_partition_id())
+    rows = members.agg(F.count("*"), F.countDistinct("member_no"), F.max("member_no"), F.countDistinct("task")).first()
+    assert tuple(rows)[:3] == (30_000, 30_000, 29_999) and rows[3] > 3
+
+
+def test_large_tars_are_complete_and_damaged_ones_give_one_row(spark, tmp_path):
+    data = tar_bytes([(f"m{i}", b"") for i in range(12_000)], "w")
+    (tmp_path / "a.tar").write_bytes(data)
+    (tmp_path / "b.tgz").write_bytes(gzip.compress(data)[:-2000])
+    rows = archive_members(spark.createDataFrame(spark_rows(tmp_path), "path string, size long")).collect()
+    assert sorted(r.member_no for r in rows if r.error is None) == list(range(12_000))
+    assert [r.archive_path.endswith("b.tgz") for r in rows if r.error] == [True]
+
+
 def test_catalog_files(spark, sf_dir, tmp_path):
     files, target = fx.files(spark, sf_dir), str(tmp_path / "catalog")
     catalog.write_catalog(files.repartition(8), target, rows=50)
