@@ -2,7 +2,7 @@
 
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, deque
 from itertools import accumulate, combinations, groupby, islice
 
 import numpy as np
@@ -23,9 +23,14 @@ WINDOW = 6
 SUPPORT = 3
 # ... which share less than this part of the words of the larger one ...
 NEAR = 0.4
-# ... looked for in as many parts of a pair's contexts at a time, each of which passes on as many ...
+# ... looked for in as many parts of a pair's contexts at a time, first among as many of a part ...
 PARTS = 64
-PASSED_ON = 16
+FIRST = 16
+# ... which lets a context go for as many of the last LAST passed on: see _passed_on. What all parts
+# pass on is looked through in blocks of about BLOCK contexts, by three ...
+STANDING = 4 * WINDOW + 1
+LAST = 256
+BLOCK = 512
 # ... and its pointwise mutual information with the entity is this share of what the entity
 # itself would tell, log(contexts of all / contexts of the entity).
 DISCLOSURE = 0.8
@@ -196,28 +201,59 @@ def _grouped(batches, n):
         yield key, (frozenset(row[n]) - {key[1]} for row in group)
 
 
+def _stood_for(words, last):
+    """Whether STANDING of the contexts ``last`` stand for this one, wherever it may count.
+
+    They have as many words, and share none with each other but the words of this one. Two contexts that differ
+    from this one have at most 4 * WINDOW words, so one that stands for it shares with them no word but what it
+    shares with this one, and differs from both as well.
+    """
+    taken, standing = set(), 0
+    for other in last:
+        if len(other) >= len(words):
+            more = other - words
+            if taken.isdisjoint(more):
+                taken |= more
+                standing += 1
+                if standing == STANDING:
+                    return True
+    return False
+
+
 def _passed_on(batches):
-    """Of the contexts of each (entity, term, part) SUPPORT mutually different ones, or all that may be among such.
+    """Of the contexts of each (entity, term, part) SUPPORT mutually different ones, or all but those stood for.
 
-    A part without such contexts passes on PASSED_ON of them, and after these one that differs from
-    all passed on; a second one makes up SUPPORT with the first and any other.
+    SUPPORT different ones are looked for among the first FIRST, and one that differs from all of these: a
+    second one makes up SUPPORT with it and any other. A context that STANDING ones passed on stand for can be
+    replaced by one of them in any set of SUPPORT different contexts, of this part or others, so letting it go
+    changes no answer. Any other context is passed on.
     """
+
+    def batch(key, found):
+        rows = [[*x, key[1]] for x in found]
+        arrays = [pa.array([k] * len(rows), pa.int64()) for k in key[:2]]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(rows, pa.list_(pa.int64()))], ["entity", "term", "words"])
+
     for key, contexts in _grouped(batches, 3):
-        kept, others = [], []
+        first, others, last, passed = [], [], deque(maxlen=LAST), []
         for words in contexts:
-            apart = [i for i, x in enumerate(kept) if _differ(x, words)]
+            apart = [i for i, x in enumerate(first) if _differ(x, words)]
             found = _among(apart, others)
             if found:
-                kept = [*(kept[i] for i in found), words]
+                passed = [*(first[i] for i in found), words]
                 break
-            if len(kept) < PASSED_ON or len(apart) == len(kept):
+            if len(first) < FIRST or len(apart) == len(first):
                 for i in apart:
-                    others[i].add(len(kept))
-                kept.append(words)
+                    others[i].add(len(first))
+                first.append(words)
                 others.append(set(apart))
-        rows = [[*x, key[1]] for x in kept]
-        arrays = [pa.array([k] * len(rows), pa.int64()) for k in key[:2]]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(rows, pa.list_(pa.int64()))], ["entity", "term", "words"])
+            if not _stood_for(words, last):
+                last.append(words)
+                passed.append(words)
+                if len(passed) == BLOCK:
+                    yield batch(key, passed)
+                    passed = []
+        yield batch(key, passed)
 
 
 def _among(apart, others):
@@ -239,33 +275,59 @@ def _has_support(contexts):
     held[np.repeat(np.arange(len(contexts)), sizes)[shown], column[places[shown]]] = 1
     larger = np.maximum.outer(sizes, sizes)
     differ = (held @ held.T < NEAR * larger) & ~np.eye(len(contexts), dtype=bool)
-    # Those that differ from too few others are in no such set, nor count for the rest.
-    while len(differ) and (few := differ.sum(1) < SUPPORT - 1).any():
-        differ = differ[~few][:, ~few]
+    # Those that differ from too few others, alone or two together, are in no such set, nor count for the rest.
+    while len(differ):
+        links = differ.astype(np.float32)
+        left = differ & (links @ links >= SUPPORT - 2)
+        some = left.sum(1) >= SUPPORT - 1
+        if some.all() and (left == differ).all():
+            break
+        differ = left[some][:, some]
     others = [set(np.flatnonzero(row).tolist()) for row in differ]
     return any(_among([j for j in x if j > i], others) for i, x in enumerate(others))
 
 
 def _with_support(batches):
     """(entity, term) of the groups of contexts that have SUPPORT different ones."""
-    for key, contexts in _grouped(batches, 2):
+    for key, contexts in _grouped(batches, 3):
         if _has_support([*contexts]):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()) for k in key], ["entity", "term"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()) for k in key[:2]], ["entity", "term"])
+
+
+def _in_cells(passed):
+    """The contexts with a ``cell``: any SUPPORT contexts of an (entity, term) meet in one.
+
+    A pair of few contexts is one cell. Those of more are dealt to blocks, and a cell holds three of the blocks.
+    """
+    pair = ["entity", "term"]
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    # At most one row for each SUPPORT * BLOCK contexts.
+    large = F.broadcast(passed.groupBy(*pair).agg(blocks.alias("blocks")).filter(F.col("blocks") > SUPPORT))
+    small = passed.join(large, pair, "left_anti").withColumn("cell", F.lit(""))
+    dealt = passed.join(large, pair).withColumn("block", F.pmod(F.hash("words"), F.col("blocks")))
+    for name in (names := [f"block{i}" for i in range(1, SUPPORT)]):
+        dealt = dealt.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ordered = [F.col(a) < F.col(b) for a, b in zip(names, names[1:])]
+    for condition in [*(F.col(name) != F.col("block") for name in names), *ordered]:
+        dealt = dealt.filter(condition)
+    cell = F.concat_ws(",", F.sort_array(F.array("block", *names)))
+    return small.unionByName(dealt.select(*pair, "words", cell.alias("cell")))
 
 
 def _supported(flat):
     """(entity, term) that go together in SUPPORT different contexts.
 
-    Contexts are dealt to parts, so that a frequent pair is not one task; what the parts pass on,
-    PARTS * (PASSED_ON + 1) contexts of a pair at most, meets in one. As long as no part drops a
-    context, a pair that has support keeps it whatever rows are added.
+    Contexts are dealt to parts, so that a frequent pair is not one task; a part lets go only contexts that
+    others stand for, and what the parts pass on is looked through in cells of bounded size. The answer is that
+    of a search through all contexts, so a pair that has support keeps it whatever rows are added.
     """
     keys = ["entity", "term", "part"]
     dealt = flat.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(PARTS)))
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "words")
-    passed = dealt.mapInArrow(_passed_on, "entity bigint, term bigint, words array<bigint>")
-    passed = passed.repartition(*keys[:2]).sortWithinPartitions(*keys[:2])
-    return passed.mapInArrow(_with_support, "entity bigint, term bigint")
+    passed = materialise(dealt.mapInArrow(_passed_on, "entity bigint, term bigint, words array<bigint>"), "passed")
+    keys = ["entity", "term", "cell"]
+    cells = _in_cells(passed).repartition(*keys).sortWithinPartitions(*keys).select(*keys, "words")
+    return cells.mapInArrow(_with_support, "entity bigint, term bigint").distinct()
 
 
 def revealing_terms(found: DataFrame, packed: DataFrame) -> tuple:

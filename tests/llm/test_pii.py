@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -175,3 +176,63 @@ def test_contexts_are_words_however_long():
     text = "before " + (" " * 500).join(long) + "  a@b.org " + "\t".join(reversed(long)) + " after"
     found, _ = pii.contexts(text, pii.base_spans(text))
     assert set(found[0][1:]) == {t for _, t in pii._terms([(0, w.encode()) for w in long])}
+
+
+def differ(a, b):
+    return a != b and len(a & b) < pii.NEAR * max(len(a), len(b))
+
+
+def passed_on(contexts):
+    rows = [{"entity": 1, "term": 99, "part": 0, "words": [*x, 99]} for x in contexts]
+    schema = pa.schema([(c, pa.int64()) for c in ("entity", "term", "part")] + [("words", pa.list_(pa.int64()))])
+    batches = pii._passed_on([pa.RecordBatch.from_pylist(rows, schema=schema)])
+    return [frozenset(w) - {99} for b in batches for w in b.column(2).to_pylist()]
+
+
+def behind(n):
+    """Contexts near each other, and three that differ but are near all of these."""
+    copies = [frozenset([*range(1, 7), 1000 + i]) for i in range(n)]
+    return copies, [frozenset([1, 2, 3, *range(10, 14)]), frozenset([4, 5, 6, *range(20, 24)]), frozenset([1, 2, 4, *range(30, 34)])]
+
+
+def test_a_part_lets_no_support_go(spark):
+    """Three contexts near the many that came before them, within one part and over all parts."""
+    copies, three = behind(6000)
+    assert not any(differ(a, b) for a in copies[:9] for b in copies + three) and differ(*three[:2]) and differ(*three[1:])
+    passed = passed_on([*copies, *three])
+    assert pii._has_support(passed) and len(passed) <= pii.STANDING + 3
+    rows = [(e, 7, [*sorted(x), 7]) for e, xs in ((1, copies + three), (2, copies + three[1:])) for x in xs]
+    flat = spark.createDataFrame(rows, "entity long, term long, words array<long>")
+    assert [tuple(r) for r in pii._supported(flat).collect()] == [(1, 7)]
+
+
+def test_contexts_stood_for_change_no_answer(monkeypatch):
+    """Random contexts of five words at most, most of them with a common core."""
+    monkeypatch.setattr(pii, "STANDING", 11)
+    let_go, answers = 0, set()
+    for seed in range(150):
+        rng = random.Random(seed)
+        contexts = [frozenset([0, 1, *rng.sample(range(3, 90), 3)]) for _ in range(rng.choice((3, 120)))]
+        contexts += [frozenset(rng.sample(range(rng.choice((8, 90))), rng.randint(2, 5))) for _ in range(rng.randint(0, 4))]
+        contexts = [*dict.fromkeys(contexts)]
+        rng.shuffle(contexts)
+        some = any(differ(a, b) and differ(a, c) and differ(b, c) for a, b, c in combinations(contexts, 3))
+        passed = passed_on(contexts)
+        assert pii._has_support(contexts) == pii._has_support(passed) == some
+        let_go += not some and len(contexts) - len(passed)
+        answers.add(some)
+    assert let_go and answers == {True, False}
+
+
+def test_support_over_blocks(spark, monkeypatch):
+    """Many contexts that no others stand for are looked through in cells of three blocks."""
+    rng = random.Random(1)
+    core = [frozenset([1, 2, 3, 4, *rng.sample(range(5, 15), 4)]) for _ in range(200)]
+    one = [frozenset(range(100 * i, 100 * i + 6)) for i in range(1, 3)]
+    rows = [(e, 7, [*sorted(x), 7]) for e, xs in ((1, core), (2, core + one[:1]), (3, core + one)) for x in set(xs)]
+    passed = spark.createDataFrame(rows, "entity long, term long, words array<long>")
+    monkeypatch.setattr(pii, "BLOCK", 25)
+    cells = pii._in_cells(passed)
+    sizes = cells.groupBy("entity", "cell").count().collect()
+    assert len(sizes) > 3 and max(r["count"] for r in sizes) < 3 * 50
+    assert {(r.entity, r.term) for r in pii._supported(passed).collect()} == {(3, 7)}
