@@ -4,8 +4,11 @@ import datetime
 import io
 import tarfile
 import zipfile
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from pathledger.operators import snapshots as ops
@@ -17,6 +20,9 @@ from pathledger.sources import catalog, checkpoints, listing, scan
 from pathledger.sources.archive_members import archive_members as list_members
 from pathledger.sources.remote import open_for_writing
 
+# Files that a folder of the tree of documents holds.
+_FOLDER_FILES = 1000
+
 # Listing rows: short, long, with quoted comma and quote, without directory, with an empty last
 # field, with a date that is no number, and rows that repeat one path.
 _LISTING_SQL = """
@@ -187,6 +193,32 @@ def walk_files(spark, sf_dir):
     return _tree_rows(found, F.col("ext"))
 
 
+def _shelf_writer(location):
+    """Writes the rows of a task, sorted by id, as one file per id, in folders of _FOLDER_FILES files."""
+
+    def write(batches):
+        task, written = TaskContext.get().partitionId(), 0
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for doc, texts in groupby(rows, lambda row: row[0]):
+            name = "__HIVE_DEFAULT_PARTITION__" if doc is None else doc
+            with open_for_writing(f"{location}/{task}-{written // _FOLDER_FILES}/doc={name}.txt") as handle:
+                for _, text in texts:
+                    handle.write(text.encode() + b"\n")
+            written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["files"])
+
+    return write
+
+
+def _document_tree(spark, sf_dir):
+    """A folder with a text file per document. Tasks write the files in place: no one moves them one by one afterwards."""
+    location = fresh_folder(spark, "tree")
+    documents = fx.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    written = documents.sortWithinPartitions("doc_id").mapInArrow(_shelf_writer(location), "files long")
+    written.agg(F.sum("files")).first()
+    return location
+
+
 @query(
     """
     SELECT doc_id, md5(text || chr(10)) AS content_hash, copies
@@ -196,11 +228,9 @@ def walk_files(spark, sf_dir):
 )
 def duplicates_from_scan(spark, sf_dir):
     """Copies among files of one document each, found by opening only files that may have one."""
-    location = fresh_folder(spark, "tree")
-    documents = fx.table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    documents.select(F.col("doc_id").alias("doc"), "text").write.partitionBy("doc").text(location)
+    location = _document_tree(spark, sf_dir)
     found = scan.duplicates_from_scan(scan.walk_files(spark, location).filter(F.col("ext") == ".txt"))
-    doc_id = F.regexp_extract("path", "/doc=([0-9]+)/[^/]*$", 1).cast("bigint")
+    doc_id = F.regexp_extract("path", "/doc=([0-9]+)[.]txt$", 1).cast("bigint")
     return found.select(doc_id.alias("doc_id"), "content_hash", "copies")
 
 

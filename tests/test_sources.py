@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pathledger.functions import content
 from pathledger.functions.paths import is_archive_scan, path_depth
 from pathledger.operators import archives, filters
-from pathledger.plans import fixtures as fx
+from pathledger.plans import fixtures as fx, storage
 from pathledger.schema import ARCHIVE_MEMBERS, FILES
 from pathledger.sources import catalog, checkpoints, listing, remote, scan
 from pathledger.sources.archive_members import archive_members, refresh_members
@@ -589,3 +589,19 @@ def test_depth_of_a_walk_equals_the_depth_filter(spark, tree):
     kept = filters.max_depth(every, 1)
     assert below(tree, kept) == below(tree, scan.walk_files(spark, str(tree), depth=1))
     assert every.select(F.max(path_depth("relative"))).first()[0] == 3
+
+
+def test_tasks_write_the_tree_of_documents_in_place(spark, tmp_path):
+    """A file per document in few folders; ids that repeat within a task share a file, as do those without one."""
+    texts = [(i, f"text {i % 500}\né") for i in range(2500)] + [(7, "again"), (None, "no id"), (2600, None), (-1, "")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    place = Path(remote.local_path(storage._document_tree(spark, str(tmp_path))))
+    files = [p for p in place.rglob("*") if p.is_file() and p.suffix == ".txt"]
+    assert len(files) == 2502 and len({p.parent for p in files}) == 3
+    found = {p.name: p.read_bytes().decode() for p in files}
+    assert sorted(found.pop("doc=7.txt").split("\n")) == sorted(["text 7", "é", "again", ""])
+    assert found.pop("doc=__HIVE_DEFAULT_PARTITION__.txt") == "no id\n" and found.pop("doc=-1.txt") == "\n"
+    assert found == {f"doc={i}.txt": f"text {i % 500}\né\n" for i in range(2500) if i != 7}
+    copies = {(r.doc_id, r.copies) for r in storage.duplicates_from_scan(spark, str(tmp_path)).collect()}
+    assert copies == {(i, 5 - (i % 500 == 7)) for i in range(2500) if i != 7}
