@@ -38,6 +38,14 @@ def shared_folder(spark):
     return _local_folders[app]
 
 
+def file_batches(spark, rows=256, size=4 << 20):
+    """Few rows and bytes per Arrow batch, one row at least, since one row may be a whole file."""
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(records)) <= rows:
+        spark.conf.set(records, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def fresh_folder(spark, label):
     """A new, unused location in the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pathledger.functions.paths import is_archive_scan
 from pathledger.schema import ARCHIVE_MEMBERS
-from pathledger.session import materialise
+from pathledger.session import file_batches, materialise
 from pathledger.sources.remote import open_for_reading
 
 _BATCH = 10_000
@@ -265,6 +265,8 @@ def archive_members(archives: DataFrame, path="path", size="size", content=None,
         width = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         members = _by_path(wanted.select(F.col(path).alias("path"), known.alias("size")), width, range_bytes)
     else:
+        # A task holds a batch of contents at a time, however many rows there are.
+        file_batches(archives.sparkSession)
         wanted = wanted.select(F.col(path).alias("path"), F.col(content).alias("content"))
         members = wanted.mapInPandas(_list_batches, ARCHIVE_MEMBERS)
     if limit is None:

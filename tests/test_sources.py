@@ -13,6 +13,7 @@ from collections import Counter
 from pathlib import Path
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
@@ -605,3 +606,19 @@ def test_tasks_write_the_tree_of_documents_in_place(spark, tmp_path):
     assert found == {f"doc={i}.txt": f"text {i % 500}\né\n" for i in range(2500) if i != 7}
     copies = {(r.doc_id, r.copies) for r in storage.duplicates_from_scan(spark, str(tmp_path)).collect()}
     assert copies == {(i, 5 - (i % 500 == 7)) for i in range(2500) if i != 7}
+
+
+def test_contents_come_in_batches_of_bounded_size(spark):
+    """A task that lists archives by content holds few of them at a time, however many there are."""
+    sizes = F.expr("CASE WHEN id < 20000 THEN 10 ELSE 1000000 END")
+    files = spark.range(20_020).coalesce(1).select(
+        F.concat("id", F.lit(".zip")).alias("path"), F.lit(0).alias("size"), F.repeat(F.lit("x"), sizes.cast("int")).cast("binary").alias("content")
+    )
+    assert archive_members(files, content="content").filter("error IS NOT NULL").count() == 20_020
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    found = files.mapInArrow(measure, "rows long, bytes long").agg(F.max("rows"), F.max("bytes")).first()
+    assert found[0] <= 256 and found[1] < 6_000_000
