@@ -27,7 +27,7 @@ NEAR = 0.4
 PARTS = 64
 FIRST = 16
 # ... which lets a context go for as many of the last LAST passed on: see _passed_on. What all parts
-# pass on is looked through in blocks of about BLOCK contexts, by three ...
+# pass on is looked through in blocks of about BLOCK contexts, by three blocks that differ: see _in_cells ...
 STANDING = 4 * WINDOW + 1
 LAST = 256
 BLOCK = 512
@@ -226,7 +226,8 @@ def _passed_on(batches):
     SUPPORT different ones are looked for among the first FIRST, and one that differs from all of these: a
     second one makes up SUPPORT with it and any other. A context that STANDING ones passed on stand for can be
     replaced by one of them in any set of SUPPORT different contexts, of this part or others, so letting it go
-    changes no answer. Any other context is passed on.
+    changes no answer. Any other context is passed on, however many there are: FIRST and LAST bound how long an
+    early answer or those that stand for a context are looked for, and none goes for want of room.
     """
 
     def batch(key, found):
@@ -262,8 +263,8 @@ def _among(apart, others):
     return next((c for c in chosen if all(b in others[a] for a, b in combinations(c, 2))), None)
 
 
-def _has_support(contexts):
-    """Whether SUPPORT of the contexts differ from each other: all of them are looked at."""
+def _differences(contexts):
+    """The contexts by the contexts: which of them differ."""
     sizes = np.array([len(x) for x in contexts])
     _, places, counts = np.unique(
         np.concatenate([np.fromiter(x, np.int64, len(x)) for x in contexts]), return_inverse=True, return_counts=True
@@ -274,7 +275,12 @@ def _has_support(contexts):
     held = np.zeros((len(contexts), int((counts > 1).sum())), np.float32)
     held[np.repeat(np.arange(len(contexts)), sizes)[shown], column[places[shown]]] = 1
     larger = np.maximum.outer(sizes, sizes)
-    differ = (held @ held.T < NEAR * larger) & ~np.eye(len(contexts), dtype=bool)
+    return (held @ held.T < NEAR * larger) & ~np.eye(len(contexts), dtype=bool)
+
+
+def _has_support(contexts):
+    """Whether SUPPORT of the contexts differ from each other: all of them are looked at."""
+    differ = _differences(contexts)
     # Those that differ from too few others, alone or two together, are in no such set, nor count for the rest.
     while len(differ):
         links = differ.astype(np.float32)
@@ -294,24 +300,72 @@ def _with_support(batches):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()) for k in key[:2]], ["entity", "term"])
 
 
+def _linked(batches):
+    """(entity, term, a, b) of the two blocks, or one, in which a context of ``a`` differs from one of ``b``."""
+    for key, sides in groupby(_grouped(batches, 5), lambda group: group[0][:4]):
+        first, *second = ([*contexts] for _, contexts in sides)
+        found = _differences(first + second[0])[: len(first), len(first) :] if second else _differences(first)
+        if found.any():
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+            arrays = [pa.array([k], kind) for k, kind in zip(key, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["entity", "term", "a", "b"])
+
+
+def _in_blocks(contexts):
+    """The contexts with a ``core`` and a ``block`` of about BLOCK contexts; no two of a core differ.
+
+    The core of a context is as many of the pair's most frequent words as make two contexts near that share
+    them: of the same core, they have as many words at most as that allows. Cores of fewer than BLOCK contexts
+    have blocks in common, and these an empty core.
+    """
+    pair = ["entity", "term"]
+    each = contexts.select(*pair, "words", F.explode("words").alias("word"))
+    # A core of BLOCK contexts has words that are in as many, at most 2 * WINDOW for each BLOCK contexts.
+    often = each.filter(F.col("word") != F.col("term")).groupBy(*pair, "word").agg(F.count(F.lit(1)).alias("n"))
+    each = each.join(F.broadcast(often.filter(F.col("n") >= BLOCK)), [*pair, "word"], "left")
+    frequent = F.when(F.col("n").isNotNull(), F.struct((-F.col("n")).alias("rank"), "word"))
+    each = each.groupBy(*pair, "words").agg(F.sort_array(F.collect_list(frequent))["word"].alias("frequent"))
+    least = F.ceil(F.lit(NEAR) * (F.size("words") - 1)).cast("int")
+    core = F.when(F.size("frequent") >= least, F.sort_array(F.slice("frequent", 1, least)))
+    cored = each.select(*pair, "words", F.coalesce(core, F.array().cast("array<bigint>")).alias("core"))
+    # At most one row for each BLOCK contexts, and one for each pair.
+    count = F.count(F.lit(1))
+    large = cored.groupBy(*pair, "core").agg(count.alias("n")).filter((F.size("core") > 0) & (F.col("n") >= BLOCK))
+    cored = cored.join(F.broadcast(large), [*pair, "core"], "left")
+    cored = cored.withColumn("core", F.when(F.col("n").isNotNull(), F.col("core")).otherwise(F.array())).drop("n")
+    blocks = cored.groupBy(*pair, "core").agg(F.ceil(count / BLOCK).cast("int").alias("blocks"))
+    dealt = cored.join(F.broadcast(blocks), [*pair, "core"])
+    number = F.pmod(F.hash("words"), F.col("blocks"))
+    block = F.concat_ws(":", F.concat_ws(",", F.col("core").cast("array<string>")), number.cast("string"))
+    return dealt.select(*pair, "words", "core", block.alias("block"))
+
+
 def _in_cells(passed):
-    """The contexts with a ``cell``: any SUPPORT contexts of an (entity, term) meet in one.
+    """The contexts with a ``cell``: any SUPPORT contexts of an (entity, term) that differ meet in one.
 
-    A pair of few contexts is one cell. Those of more are dealt to blocks, and a cell holds three of the blocks.
+    A pair of few contexts is one cell. Those of more are dealt to blocks. Blocks are linked if contexts of one
+    differ from some of the other, and a cell holds three blocks that are linked with each other, or fewer if a
+    block is linked with itself. All two blocks are compared but those of one core, which hold no different ones.
     """
     pair = ["entity", "term"]
-    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    few = F.count(F.lit(1)) <= SUPPORT * BLOCK
     # At most one row for each SUPPORT * BLOCK contexts.
-    large = F.broadcast(passed.groupBy(*pair).agg(blocks.alias("blocks")).filter(F.col("blocks") > SUPPORT))
-    small = passed.join(large, pair, "left_anti").withColumn("cell", F.lit(""))
-    dealt = passed.join(large, pair).withColumn("block", F.pmod(F.hash("words"), F.col("blocks")))
-    for name in (names := [f"block{i}" for i in range(1, SUPPORT)]):
-        dealt = dealt.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ordered = [F.col(a) < F.col(b) for a, b in zip(names, names[1:])]
-    for condition in [*(F.col(name) != F.col("block") for name in names), *ordered]:
-        dealt = dealt.filter(condition)
-    cell = F.concat_ws(",", F.sort_array(F.array("block", *names)))
-    return small.unionByName(dealt.select(*pair, "words", cell.alias("cell")))
+    large = materialise(passed.groupBy(*pair).agg(few.alias("few")).filter(~F.col("few")).select(*pair), "large")
+    small = passed.join(F.broadcast(large), pair, "left_anti").withColumn("cell", F.lit(""))
+    if large.isEmpty():
+        return small
+    dealt = materialise(_in_blocks(passed.join(F.broadcast(large), pair)), "blocks")
+    blocks = dealt.select(*pair, "core", "block").distinct()
+    two = blocks.toDF(*pair, "core", "a").join(blocks.toDF(*pair, "other", "b"), pair)
+    two = two.filter((F.col("a") <= F.col("b")) & ((F.size("core") == 0) | (F.col("core") != F.col("other"))))
+    two = two.select(*pair, "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    keys = [*pair, "a", "b", "block"]
+    rows = dealt.join(two, [*pair, "block"]).repartition(*keys[:4]).sortWithinPartitions(*keys).select(*keys, "words")
+    linked = materialise(rows.mapInArrow(_linked, "entity bigint, term bigint, a string, b string"), "linked")
+    three = linked.join(linked.toDF(*pair, "b", "c"), [*pair, "b"]).join(linked.toDF(*pair, "a", "c"), [*pair, "a", "c"])
+    cells = three.select(*pair, F.array_distinct(F.array("a", "b", "c")).alias("cell")).distinct()
+    cells = cells.select(*pair, F.explode("cell").alias("block"), F.concat_ws(" ", "cell").alias("cell"))
+    return small.unionByName(dealt.join(cells, [*pair, "block"]).select(*pair, "words", "cell"))
 
 
 def _supported(flat):

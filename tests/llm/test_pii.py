@@ -236,3 +236,36 @@ def test_support_over_blocks(spark, monkeypatch):
     sizes = cells.groupBy("entity", "cell").count().collect()
     assert len(sizes) > 3 and max(r["count"] for r in sizes) < 3 * 50
     assert {(r.entity, r.term) for r in pii._supported(passed).collect()} == {(3, 7)}
+
+
+def test_cells_of_a_template_do_not_grow_with_the_cube(spark, monkeypatch):
+    """Contexts that share a core are never looked through by three, whatever stands in the slots."""
+    rng = random.Random(2)
+    core = [*dict.fromkeys(frozenset([1, 2, 3, 4, 5, *(100 * s + rng.randrange(18) for s in range(1, 7))]) for _ in range(500))]
+    one = [frozenset(range(9000 + 100 * i, 9008 + 100 * i)) for i in range(2)]
+    rows = [(e, 7, [*sorted(x), 7]) for e, xs in ((1, core), (2, core + one[:1]), (3, core + one)) for x in xs]
+    flat = spark.createDataFrame(rows, "entity long, term long, words array<long>")
+    assert len(passed_on(core)) == len(core)
+    monkeypatch.setattr(pii, "BLOCK", 25)
+    cells = pii._in_cells(flat).groupBy("entity").agg({"cell": "count"}).collect()
+    assert {r.entity for r in cells} == {3} and all(r[1] <= 2 * len(core) for r in cells)
+    assert [tuple(r) for r in pii._supported(flat).collect()] == [(3, 7)]
+
+
+def test_linked_blocks_lose_no_support(spark, monkeypatch):
+    """Random families with and without cores, all that is passed on dealt to small blocks; some rows come twice."""
+    monkeypatch.setattr(pii, "BLOCK", 5)
+    families = []
+    for seed in range(90):
+        rng = random.Random(seed)
+        cores = [rng.sample(range(1, 40), rng.randint(3, 5)) for _ in range(rng.choice((1, 1, 2, 3)))]
+        family = [frozenset([*rng.choice(cores), *rng.sample(range(1, 30), rng.randint(0, 4))]) for _ in range(rng.randint(20, 40))]
+        family += [frozenset(rng.sample(range(1, rng.choice((12, 60)) + 1), rng.randint(0, 9))) for _ in range(rng.randint(0, 3))]
+        families.append([*dict.fromkeys(family)])
+    rows = [(e, 99, [*x, 99]) for e, xs in enumerate(families) for x in xs + xs[: e % 3]]
+    cells = pii._in_cells(spark.createDataFrame(rows, "entity long, term long, words array<long>"))
+    keys = ["entity", "term", "cell"]
+    cells = cells.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "words")
+    found = {r.entity for r in cells.mapInArrow(pii._with_support, "entity bigint, term bigint").collect()}
+    some = {e for e, xs in enumerate(families) if any(differ(a, b) and differ(a, c) and differ(b, c) for a, b, c in combinations(xs, 3))}
+    assert found == some and 20 < len(some) < 70
